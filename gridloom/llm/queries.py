@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontaminate import decontaminated
 from .exact_dedup import exact_dedup
+from .pieces import round_trip
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,7 +19,11 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate)}
+def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
