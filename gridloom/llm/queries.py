@@ -9,6 +9,7 @@ from .common import table
 from .decontaminate import decontaminated
 from .exact_dedup import exact_dedup
 from .pieces import round_trip
+from .token_codes import token_files
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +24,11 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces)}
+def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+
+
+QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces, op8_token_codes)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
