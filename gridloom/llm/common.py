@@ -42,3 +42,29 @@ def ascii_lower(c: Column) -> Column:
 def sha256_of(c: Column) -> Column:
     """Lower-case hex SHA-256 of the text in UTF-8."""
     return F.sha2(c.cast("binary"), 256)
+
+
+#: Words of 64 bits in a ``bounded_set``: at most 2**20 rows of 16 bytes.
+SET_WORDS_LOG2 = 20
+
+
+def _place(key: Column) -> tuple[Column, Column]:
+    mixed = F.xxhash64(key, F.lit(7))
+    word = F.shiftrightunsigned(mixed, 64 - SET_WORDS_LOG2)
+    bit = F.shiftrightunsigned(mixed, 58 - SET_WORDS_LOG2).bitwiseAND(F.lit(63)).cast("int")
+    return word, F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+
+
+def bounded_set(df: DataFrame, key: str, folder: str, name: str) -> DataFrame:
+    """A set of keys as 64-bit words with a bit for each: at most 2**20 rows, however many keys there are. The more
+    keys, the more others share their bits; so it only ever saves work and never decides."""
+    word, bit = _place(F.col(key))
+    words = df.groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    return stored(words.coalesce(8), folder, name)
+
+
+def with_membership(df: DataFrame, key: str, members: DataFrame, flag: str) -> DataFrame:
+    """``df`` with a boolean: false only where the key is not in the ``bounded_set``."""
+    word, bit = _place(F.col(key))
+    known = df.withColumn("word", word).join(F.broadcast(members), "word", "left")
+    return known.withColumn(flag, F.coalesce(bit.bitwiseAND(F.col("bits")) != 0, F.lit(False))).drop("word", "bits")

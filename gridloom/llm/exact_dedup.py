@@ -24,16 +24,12 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, sha256_of, stored, work_folder
+from .common import SPACE, bounded_set, sha256_of, stored, with_membership, work_folder
 
 #: Bits of the hash that the directory may use: at most 65,536 slots, a few hundred KB.
 MAX_DEPTH = 16
 #: Distinct hashes that a bucket holds before it splits.
 CAPACITY = 50_000
-#: Words of 64 bits in the set of repeated hashes that is sent to all executors: at most 2**20 rows of 16 bytes.
-#: Where more hashes repeat than it can tell apart, more texts are shuffled; the result is the same.
-SET_WORDS_LOG2 = 20
-
 
 def normalised(text: Column) -> Column:
     """Runs of ASCII white space as one space; null as empty."""
@@ -86,12 +82,6 @@ def _prefix(h: Column, bits: int, depth: int) -> Column:
     return F.shiftrightunsigned(h, bits - depth) if depth else F.lit(0).cast("long")
 
 
-def _place(h: Column) -> tuple[Column, Column]:
-    """Word and bit of a hash in the set of repeated hashes."""
-    mixed = F.xxhash64(h, F.lit(7))
-    return F.shiftrightunsigned(mixed, 64 - SET_WORDS_LOG2), F.shiftrightunsigned(mixed, 58 - SET_WORDS_LOG2).bitwiseAND(F.lit(63)).cast("int")
-
-
 def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, hash_bits: int = 64) -> Index:
     """``hash_bits`` under 64 makes hashes collide, for tests; at least ``MAX_DEPTH``."""
     spark = docs.sparkSession
@@ -107,19 +97,11 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap
     prefixes = by_hash.groupBy(_prefix(F.col("h"), hash_bits, MAX_DEPTH).alias("p")).count()
     directory = Directory.grown({r["p"]: r["count"] for r in prefixes.collect()}, capacity)
 
-    word, bit = _place(F.col("h"))
-    repeated = by_hash.where("n > 1").groupBy(word.alias("word")).agg(F.bit_or(_one_at(bit)).alias("bits"))
-    repeated = F.broadcast(stored(repeated.coalesce(8), folder, "repeated"))
+    repeated = bounded_set(by_hash.where("n > 1"), "h", folder, "repeated")
 
-    def told_apart(df: DataFrame) -> DataFrame:
-        """With column ``again``: whether the hash may occur more than once."""
-        word, bit = _place(F.col("h"))
-        known = df.withColumn("word", word).join(repeated, "word", "left")
-        return known.withColumn("again", F.coalesce(_one_at(bit).bitwiseAND(F.col("bits")) != 0, F.lit(False))).drop("word", "bits")
-
-    several = told_apart(hashed()).where("again").groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    several = with_membership(hashed(), "h", repeated, "again").where("again").groupBy("h", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
     several = several.select("h", sha256_of(F.col("norm")).alias("sha"), "keep_id", "group_size")
-    alone = told_apart(keys).where("not again").select("h", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
+    alone = with_membership(keys, "h", repeated, "again").where("not again").select("h", "sha", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"))
 
     slot = _prefix(F.col("h"), hash_bits, directory.depth).cast("int").alias("slot")
     owned = several.unionByName(alone).select("*", slot).join(F.broadcast(directory.frame(spark)), "slot").drop("slot")
@@ -130,10 +112,6 @@ def build_index(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", cap
     return Index(keys, spark.read.schema(chained.schema).parquet(path), directory)
 
 
-def _one_at(bit: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("long"), bit)
-
-
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", capacity: int = CAPACITY, hash_bits: int = 64) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 of every row, kept or not."""
     index = build_index(docs, text, doc_id, capacity, hash_bits)

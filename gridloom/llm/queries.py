@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import decontaminated
 from .exact_dedup import exact_dedup
+from .near_dedup import near_dedup
 from .pieces import round_trip
 from .token_codes import token_files
 
@@ -24,11 +25,15 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces, op8_token_codes)}
+QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces, op6_near_dedup, op8_token_codes)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -37,6 +42,22 @@ ORACLES: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)
     """,
+    "op6_near_dedup": r"""
+        WITH RECURSIVE d AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (
+            SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + 2), ' ') AS t
+            FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS u(i) WHERE len(w) > 0),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
+        links AS (SELECT b.a, b.b FROM b JOIN n x ON x.doc_id = b.a JOIN n y ON y.doc_id = b.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
+        both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a, b FROM both UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+        SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, min(reach.b)) AS component_id,
+               d.doc_id = least(d.doc_id, min(reach.b)) AS kept
+        FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
+    """,
     "op2_decontaminate": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
