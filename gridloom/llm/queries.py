@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 from .decontaminate import decontaminated
 from .exact_dedup import exact_dedup
+from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .pieces import round_trip
 from .token_codes import token_files
@@ -25,6 +26,10 @@ def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup(table(spark, sf_dir, "documents"))
+
+
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -33,7 +38,7 @@ def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces, op6_near_dedup, op8_token_codes)}
+QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces, op5_line_dedup, op6_near_dedup, op8_token_codes)}
 
 ORACLES: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -42,6 +47,18 @@ ORACLES: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)
     """,
+    "op5_line_dedup": r"""
+        WITH l AS (
+            SELECT doc_id, i, x, translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                                           'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i
+                  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents))),
+        c AS (SELECT k, count(DISTINCT doc_id) AS n, max(doc_id) AS last FROM l WHERE length(k) >= 20 GROUP BY k),
+        m AS (SELECT l.*, coalesce(c.n >= 3 AND l.doc_id <> c.last, FALSE) AS gone FROM l LEFT JOIN c USING (k))
+        SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_dropped,
+               sha256(coalesce(string_agg(x, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+        FROM m GROUP BY doc_id
+    """,
     "op6_near_dedup": r"""
         WITH RECURSIVE d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -52,8 +69,8 @@ ORACLES: dict[str, str] = {
         n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
         b AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS k FROM s x JOIN s y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2),
         links AS (SELECT b.a, b.b FROM b JOIN n x ON x.doc_id = b.a JOIN n y ON y.doc_id = b.b WHERE 100 * k >= 85 * (x.n + y.n - k)),
-        both AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
-        reach AS (SELECT a, b FROM both UNION SELECT reach.a, both.b FROM reach JOIN both ON reach.b = both.a)
+        edges AS (SELECT a, b FROM links UNION SELECT b, a FROM links),
+        reach AS (SELECT a, b FROM edges UNION SELECT reach.a, edges.b FROM reach JOIN edges ON reach.b = edges.a)
         SELECT d.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, least(d.doc_id, min(reach.b)) AS component_id,
                d.doc_id = least(d.doc_id, min(reach.b)) AS kept
         FROM d LEFT JOIN n USING (doc_id) LEFT JOIN reach ON reach.a = d.doc_id GROUP BY d.doc_id
