@@ -12,6 +12,8 @@ from .exact_dedup import exact_dedup
 from .line_dedup import line_dedup
 from .near_dedup import near_dedup
 from .pieces import round_trip
+from .pii import redactions
+from .quality import quality
 from .token_codes import token_files
 
 
@@ -35,15 +37,23 @@ def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), end_id=1)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return redactions(table(spark, sf_dir, "documents"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces, op5_line_dedup, op6_near_dedup, op8_token_codes, op10_url_filter)}
+QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces, op5_line_dedup, op6_near_dedup, op7_quality, op8_token_codes, op9_pii, op10_url_filter)}
 
 ORACLES: dict[str, str] = {
     "op10_url_filter": url_filter.oracle_sql(),
