@@ -66,5 +66,14 @@ def bounded_set(df: DataFrame, key: str, folder: str, name: str) -> DataFrame:
 def with_membership(df: DataFrame, key: str, members: DataFrame, flag: str) -> DataFrame:
     """``df`` with a boolean: false only where the key is not in the ``bounded_set``."""
     word, bit = _place(F.col(key))
-    known = df.withColumn("word", word).join(F.broadcast(members), "word", "left")
-    return known.withColumn(flag, F.coalesce(bit.bitwiseAND(F.col("bits")) != 0, F.lit(False))).drop("word", "bits")
+    known = df.withColumn("__word", word).join(F.broadcast(members.toDF("__word", "__bits")), "__word", "left")
+    return known.withColumn(flag, F.coalesce(bit.bitwiseAND(F.col("__bits")) != 0, F.lit(False))).drop("__word", "__bits")
+
+
+def without_ids(docs: DataFrame, dropped: DataFrame, folder: str, name: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``dropped`` (column doc_id). Only rows that the bounded set can't
+    rule out are shuffled."""
+    gone = stored(dropped.select("doc_id").where("doc_id is not null").distinct(), folder, name)
+    told = with_membership(docs, "doc_id", bounded_set(gone, "doc_id", folder, f"{name}-set"), "__maybe")
+    rest = told.where("__maybe").drop("__maybe").join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return told.where("not __maybe").drop("__maybe").select(*docs.columns).unionByName(rest)

@@ -144,19 +144,31 @@ def _indexed_by_doc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([batch.column(2).cast(pa.int64()), *made.columns], ["doc_id", "grade", "x"])
 
 
+def _scores(model: Model, cache: Cache, column: pa.Array) -> np.ndarray:
+    weights = cache.weights
+    score = np.zeros(len(column))
+    for i, text in enumerate(column):
+        words, shapes = features(text.as_py())
+        score[i] = sum(map(cache.__getitem__, words)) + sum(weights[k] for k in shapes)
+    return score
+
+
+def _cache(model: Model) -> Cache:
+    weights = model.weights.tolist()
+    cache = Cache(lambda w: weights[bucket(w)], CACHED)
+    cache.weights = weights
+    return cache
+
+
 def scored(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, expected_grade, p_low (P(grade >= 1)), p_good (P(grade >= 2)), kept of each row."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = sent.value
-        weights = own.weights.tolist()
-        cache = Cache(lambda w: weights[bucket(w)], CACHED)
+        cache = _cache(own)
         for batch in batches:
-            score = np.zeros(batch.num_rows)
-            for i, text in enumerate(batch.column(1)):
-                words, shapes = features(text.as_py())
-                score[i] = sum(map(cache.__getitem__, words)) + sum(weights[k] for k in shapes)
+            score = _scores(own, cache, batch.column(1))
             low, good = own.tails(score)
             kept = (low, good)[KEEP_FROM - 1] >= KEEP_AT
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c) for c in (score, low + good, low, good, kept))], ["doc_id", "score", "expected_grade", "p_low", "p_good", "kept"])
@@ -164,5 +176,19 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, expected_grade double, p_low double, p_good double, kept boolean")
 
 
+def selected(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: Model = sent.value
+        cache = _cache(own)
+        for batch in batches:
+            tails = own.tails(_scores(own, cache, batch.column("text")))
+            yield batch.filter(pa.array(tails[KEEP_FROM - 1] >= KEEP_AT))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return scored(docs, fit(docs, labels))

@@ -14,6 +14,7 @@ from .near_dedup import near_dedup
 from .pieces import round_trip
 from .pii import redactions
 from .quality import quality
+from .substrings import substring_dedup
 from .token_codes import token_files
 
 
@@ -25,6 +26,10 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
 
@@ -53,7 +58,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.url_filter(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op4_pieces, op5_line_dedup, op6_near_dedup, op7_quality, op8_token_codes, op9_pii, op10_url_filter)}
+QUERIES: dict = {f.__name__: f for f in (op1_exact_dedup, op2_decontaminate, op3_substring_dedup, op4_pieces, op5_line_dedup, op6_near_dedup, op7_quality, op8_token_codes, op9_pii, op10_url_filter)}
 
 ORACLES: dict[str, str] = {
     "op10_url_filter": url_filter.oracle_sql(),
@@ -63,6 +68,17 @@ ORACLES: dict[str, str] = {
                doc_id IS NOT DISTINCT FROM min(doc_id) OVER g AS kept, sha256(t) AS text_sha256
         FROM n WINDOW g AS (PARTITION BY t)
     """,
+    "op3_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT doc_id, i, array_to_string(list_slice(w, i, i + 19), ' ') AS t FROM d, unnest(range(1, len(w) - 18)) AS u(i)),
+        r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY t ORDER BY doc_id, i) AS n FROM s),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM r WHERE n > 1),
+        words AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM d),
+        kept AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t, count(*) AS n FROM words ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (doc_id)
+    """,
     "op5_line_dedup": r"""
         WITH l AS (
             SELECT doc_id, i, x, translate(trim(x, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
