@@ -1,6 +1,338 @@
-"""Queries over stored arrays, each with SQL for the same rows."""
+"""Queries over stored arrays, each with SQL for the same rows.
+
+Every query makes its array from a table (or takes one made before in the session for the same folder and layout),
+so rows go through encoding, the store and the scan.
+"""
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import attributes as at
+from ..grid import grid_frame, projected
+from ..meta import SpecBuilder
+from ..operators.array import Array
+from ..operators.hierarchy import Group, nodes
+from ..operators.imaging import MultiscaleImage, Plate, Scene
+from ..session import work_folder
+
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str, name: str | None = None):
+    def add(f):
+        QUERIES[name or f.__name__] = f
+        ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# Cells of the arrays, from the tables.
+
+def _cells(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
+    if what == "E":  # embeddings by vector and position
+        return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("d0"), F.posexplode("embedding").alias("d1", "value"))
+    if what == "P":
+        return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d0"), F.col("o_totalprice").alias("value"))
+    if what == "Q":
+        return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("d0"), F.col("l_suppkey").alias("d1")).agg(F.sum("l_quantity").alias("value"))
+    if what == "S":
+        return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("d0"), F.col("p_size").alias("value"))
+    if what == "V":
+        return table(spark, sf_dir, "events").select(F.col("event_id").alias("d0"), F.col("value").alias("value"))
+    return table(spark, sf_dir, "labels").select(F.col("doc_id").alias("d0"), (F.col("toxic") == 1).alias("value"))
+
+
+KEYS = {"E": ("embeddings", "vec_id"), "P": ("orders", "o_orderkey"), "S": ("part", "p_partkey"), "V": ("events", "event_id"), "B": ("documents", "doc_id")}
+TYPES = {"E": "float32", "P": "float64", "Q": "float64", "S": "uint8", "V": "float64", "B": "bool"}
+
+
+def _extent(spark: SparkSession, sf_dir: str, t: str, key: str) -> int:
+    return table(spark, sf_dir, t).agg(F.max(key)).first()[0] + 1
+
+
+@functools.lru_cache(maxsize=256)
+def _made(spark: SparkSession, sf_dir: str, what: str, chunks: tuple, version: int, options: tuple) -> str:
+    shape = (_extent(spark, sf_dir, *KEYS[what]),) if what != "Q" else (_extent(spark, sf_dir, "part", "p_partkey"), _extent(spark, sf_dir, "supplier", "s_suppkey"))
+    shape = (*shape, 64) if what == "E" else shape
+    build = SpecBuilder(version).with_shape(*shape).with_dtype(TYPES[what]).with_chunks(*chunks)
+    for method, args in options:
+        build = getattr(build, method)(*args) if not isinstance(args, dict) else getattr(build, method)(**args)
+    path = f"{work_folder(spark, f'array-{what}')}/array"
+    Array.create(path, build).write_cells(_cells(spark, sf_dir, what))
+    return path
+
+
+def array(spark: SparkSession, sf_dir: str, what: str, chunks: tuple, version: int = 3, options: tuple = ()) -> Array:
+    path = _made(spark, sf_dir, what, chunks, version, options)
+    return Array.open(path)
+
+
+E_SQL = "SELECT vec_id AS d0, CAST(i - 1 AS BIGINT) AS d1, embedding[i] AS value FROM embeddings, range(1, 65) t(i)"
+P_SQL = "SELECT o_orderkey AS d0, o_totalprice AS value FROM orders"
+V_SQL = "SELECT event_id AS d0, value FROM events"
+S_SQL = "SELECT p_partkey AS d0, CAST(p_size AS SMALLINT) AS value FROM part"
+Q_SQL = """SELECT p_partkey AS d0, s_suppkey AS d1, coalesce(q, 0) AS value FROM part CROSS JOIN supplier
+           LEFT JOIN (SELECT l_partkey, l_suppkey, sum(l_quantity) AS q FROM lineitem GROUP BY ALL) ON p_partkey = l_partkey AND s_suppkey = l_suppkey"""
+
+
+@query(E_SQL)
+def read_full(spark, sf_dir):
+    return array(spark, sf_dir, "E", (128, 16)).cells(spark)
+
+
+@query(f"SELECT * FROM ({E_SQL}) WHERE d0 BETWEEN 100 AND 199 AND d1 < 20")
+def read_cutout(spark, sf_dir):
+    return array(spark, sf_dir, "E", (128, 16)).cells(spark).where("d0 BETWEEN 100 AND 199 AND d1 < 20")
+
+
+@query(f"SELECT * FROM ({E_SQL}) WHERE d0 >= 37 AND d0 < 301 AND d1 >= 5 AND d1 < 49")
+def read_cutout_unaligned(spark, sf_dir):
+    return array(spark, sf_dir, "E", (128, 16)).access().with_offset(37, 5).with_shape(264, 44).cells(spark)
+
+
+@query(f"SELECT * FROM ({E_SQL}) WHERE d0 >= 128 AND d0 < 256 AND d1 >= 16 AND d1 < 32")
+def read_chunk(spark, sf_dir):
+    return array(spark, sf_dir, "E", (128, 16)).cells(spark, (128, 16), (128, 16))
+
+
+@query(f"SELECT * FROM ({E_SQL}) WHERE d0 >= (SELECT max(vec_id) // 128 * 128 FROM embeddings) AND d1 >= 48")
+def read_edge_chunk(spark, sf_dir):
+    a = array(spark, sf_dir, "E", (128, 16))
+    at0 = (a.spec.shape[0] - 1) // 128 * 128
+    return a.cells(spark).where((F.col("d0") >= at0) & (F.col("d1") >= 48))
+
+
+@query(f"""SELECT d0 // 128 AS c0, d1 // 16 AS c1, min(d0) AS o0, min(d1) AS o1, count(*) AS n,
+           round(sum(CAST(value AS DOUBLE)), 4) AS total FROM ({E_SQL}) GROUP BY 1, 2""")
+def read_blocks(spark, sf_dir):
+    b = array(spark, sf_dir, "E", (128, 16)).blocks(spark)
+    total = F.aggregate("values", F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return b.select(F.col("chunk_coords")[0].alias("c0"), F.col("chunk_coords")[1].alias("c1"), F.col("origin")[0].alias("o0"), F.col("origin")[1].alias("o1"), F.size("values").cast("long").alias("n"), F.round(total, 4).alias("total"))
+
+
+@query("SELECT 'c/' || c0 || '/' || c1 AS key, CAST(128 * 16 * 4 AS BIGINT) AS nbytes FROM (SELECT DISTINCT vec_id // 128 AS c0 FROM embeddings) CROSS JOIN range(4) t(c1)")
+def read_raw_chunks(spark, sf_dir):
+    return array(spark, sf_dir, "E", (128, 16)).chunks(spark).select("key", "nbytes")
+
+
+@query("SELECT a AS c0, b AS c1 FROM range(37 // 30, (37 + 300 - 1) // 30 + 1) t(a) CROSS JOIN range(5 // 7, (5 + 40 - 1) // 7 + 1) u(b)")
+def chunk_grid(spark, sf_dir):
+    return grid_frame(spark, (30, 7), (37, 5), (300, 40))
+
+
+@query("""SELECT a AS c0, greatest(0, 37 - a * 30) AS chunk_offset, greatest(0, a * 30 - 37) AS out_offset,
+          least(30, 337 - a * 30) - greatest(0, 37 - a * 30) AS extent FROM range(37 // 30, 336 // 30 + 1) t(a)""")
+def chunk_projection(spark, sf_dir):
+    p = projected(grid_frame(spark, (30,), (37,), (300,)), (30,), (37,), (300,))
+    return p.select("c0", *(F.col(c)[0].alias(c) for c in ("chunk_offset", "out_offset", "extent")))
+
+
+@query(Q_SQL)
+def fill_missing(spark, sf_dir):
+    return array(spark, sf_dir, "Q", (64, 32)).cells(spark)
+
+
+@query("SELECT CAST(d AS BIGINT) AS d0, coalesce(toxic = 1, FALSE) AS value FROM (SELECT DISTINCT doc_id AS d FROM documents) LEFT JOIN labels ON d = doc_id")
+def fill_missing_bool(spark, sf_dir):
+    return array(spark, sf_dir, "B", (100,)).cells(spark)
+
+
+@query("SELECT DISTINCT 'c/' || (l_partkey // 8) || '/' || (l_suppkey // 8) AS key FROM lineitem")
+def chunk_elision(spark, sf_dir):
+    return array(spark, sf_dir, "Q", (8, 8)).chunks(spark).where("payload IS NOT NULL").select("key")
+
+
+def _copied(spark, sf_dir, what, chunks, *options) -> Array:
+    """A new array of its own, for queries that change it."""
+    _made.cache_clear()
+    return array(spark, sf_dir, what, chunks, 3, options)
+
+
+@query(f"SELECT d0, CASE WHEN d0 >= 150 AND d0 < 450 THEN -d0 ELSE value END AS value FROM ({P_SQL})")
+def write_overlay(spark, sf_dir):
+    a = _copied(spark, sf_dir, "P", (100,))
+    a.write_cells(spark.range(150, 450).selectExpr("id AS d0", "-CAST(id AS DOUBLE) AS value"))
+    return Array.open(a.handle).cells(spark)
+
+
+@query(f"SELECT d0 + 1000 AS d0, value FROM ({V_SQL}) UNION ALL SELECT i, CAST(-1 AS DOUBLE) FROM range(1000) t(i)")
+def write_offset(spark, sf_dir):
+    n = _extent(spark, sf_dir, *KEYS["V"])
+    a = Array.create(f"{work_folder(spark, 'offset')}/array", SpecBuilder().with_shape(n + 1000).with_dtype("float64").with_chunks(700).with_fill(-1))
+    a.write_cells(_cells(spark, sf_dir, "V").withColumn("d0", F.col("d0") + 1000))
+    return a.cells(spark)
+
+
+@query(f"SELECT * FROM ({P_SQL}) UNION ALL SELECT i, CAST(0 AS DOUBLE) FROM range((SELECT max(o_orderkey) + 1 FROM orders), (SELECT max(o_orderkey) + 501 FROM orders)) t(i)")
+def resize_grow(spark, sf_dir):
+    a = _copied(spark, sf_dir, "P", (1000,))
+    return a.resize((a.spec.shape[0] + 500,)).cells(spark)
+
+
+@query(f"SELECT * FROM ({P_SQL}) WHERE d0 < 777")
+def resize_shrink(spark, sf_dir):
+    return _copied(spark, sf_dir, "P", (100,)).resize((777,), metadata_only=False, spark=spark).cells(spark)
+
+
+@query(f"SELECT d0, CASE WHEN d0 < 777 THEN value ELSE 9 END AS value FROM ({P_SQL}) WHERE d0 < 1000")
+def resize_trim_regrow(spark, sf_dir):
+    a = _copied(spark, sf_dir, "P", (100,), ("with_fill", (9,)))
+    return a.resize((777,), metadata_only=False, spark=spark).resize((1000,)).cells(spark)
+
+
+def _codec(name: str, what: str, sql: str, chunks: tuple, build, version: int = 3) -> None:
+    options = (("with_codecs", (build,)),) if version == 3 else build
+
+    def run(spark, sf_dir):
+        return array(spark, sf_dir, what, chunks, version, options).cells(spark)
+
+    query(sql, name)(run)
+
+
+_codec("codec_bytes_big", "P", P_SQL, (999,), lambda c: c.bytes("big"))
+_codec("codec_gzip", "P", P_SQL, (999,), lambda c: c.gzip())
+_codec("codec_zstd", "V", V_SQL, (999,), lambda c: c.zstd())
+_codec("codec_crc32c", "S", S_SQL, (256,), lambda c: c.crc32c())
+for _cname, _how in (("lz4", "shuffle"), ("zstd", "bitshuffle"), ("zlib", "noshuffle"), ("lz4hc", "shuffle"), ("blosclz", "shuffle")):
+    _codec(f"codec_blosc_{_cname}", "P", P_SQL, (999,), functools.partial(lambda c, n, h: c.blosc(n, h), n=_cname, h=_how))
+_codec("codec_transpose", "E", E_SQL, (128, 16), lambda c: c.transpose(1, 0).zstd())
+_codec("codec_reshape", "E", E_SQL, (128, 16), lambda c: c.reshape([0, 1]).gzip())
+_codec("shard_full", "E", E_SQL, (128, 64), lambda c: c.sharding(32, 16, codecs=lambda d: d.zstd()))
+_codec("shard_nested", "E", E_SQL, (128, 64), lambda c: c.sharding(64, 32, codecs=lambda d: d.sharding(16, 8), index_location="start"))
+_codec("v2_read", "P", P_SQL, (999,), (("with_compressor", ("zlib",)),), 2)
+_codec("v2_blosc", "V", V_SQL, (999,), (("with_compressor", ("blosc",)),), 2)
+_codec("v2_fortran_order", "E", E_SQL, (128, 16), (("with_order", ("F",)), ("with_compressor", ("zstd",))), 2)
+_codec("v2_big_endian", "P", P_SQL, (999,), (("with_dtype", (">f8",)),), 2)
+
+
+@query(f"SELECT * FROM ({E_SQL}) WHERE d0 BETWEEN 100 AND 140 AND d1 BETWEEN 10 AND 20")
+def shard_cutout(spark, sf_dir):
+    a = array(spark, sf_dir, "E", (128, 64), 3, (("with_codecs", (_SHARDED,)),))
+    return a.cells(spark).where("d0 BETWEEN 100 AND 140 AND d1 BETWEEN 10 AND 20")
+
+
+def _SHARDED(c):
+    return c.sharding(32, 16, codecs=lambda d: d.blosc("lz4", "shuffle"))
+
+
+@query("SELECT DISTINCT (o_orderkey // 999) || '' AS key FROM orders")
+def v2_chunk_keys(spark, sf_dir):
+    return array(spark, sf_dir, "P", (999,), 2, (("with_compressor", ("zlib",)),)).chunks(spark).select("key")
+
+
+#: Type, how a cell comes from p_size in Spark and in SQL.
+_CASTS = {
+    "bool": ("CAST(p_size % 2 = 0 AS BOOLEAN)", "p_size % 2 = 0"), "int8": ("CAST(p_size - 25 AS TINYINT)", "CAST(p_size - 25 AS TINYINT)"), "int16": ("CAST(p_size * -600 AS SMALLINT)", "CAST(p_size * -600 AS SMALLINT)"),
+    "int32": ("p_size * -40000000", "p_size * -40000000"), "int64": ("CAST(p_size AS BIGINT) * -100000000000", "CAST(p_size AS BIGINT) * -100000000000"), "uint8": ("CAST(p_size * 5 AS SMALLINT)", "CAST(p_size * 5 AS SMALLINT)"),
+    "uint16": ("p_size * 1300", "p_size * 1300"), "uint32": ("CAST(p_size AS BIGINT) * 85000000", "CAST(p_size AS BIGINT) * 85000000"), "uint64": ("CAST(CAST(p_size AS DECIMAL(20,0)) * 300000000000000000 AS DECIMAL(20,0))", "CAST(CAST(p_size AS DECIMAL(20,0)) * 300000000000000000 AS DECIMAL(20,0))"),
+    "float32": ("CAST(p_size / 4.0 AS FLOAT)", "CAST(p_size / 4.0 AS FLOAT)"), "float64": ("CAST(p_retailprice AS DOUBLE)", "CAST(p_retailprice AS DOUBLE)"),
+}
+
+
+def _typed(dtype: str, spark_expr: str, sql_expr: str) -> None:
+    def run(spark, sf_dir):
+        n = _extent(spark, sf_dir, "part", "p_partkey")
+        a = Array.create(f"{work_folder(spark, 'typed')}/array", SpecBuilder().with_shape(n).with_dtype(dtype).with_chunks(300))
+        a.write_cells(table(spark, sf_dir, "part").selectExpr("p_partkey AS d0", f"{spark_expr} AS value"))
+        cells = a.cells(spark)
+        return cells.withColumn("value", F.col("value").cast("string")) if dtype == "uint64" else cells
+
+    sql_expr = f"CAST({sql_expr} AS VARCHAR)" if dtype == "uint64" else sql_expr
+    query(f"SELECT p_partkey AS d0, {sql_expr} AS value FROM part", f"dtype_{dtype}")(run)
+
+
+for _name, _how in _CASTS.items():
+    _typed(_name, *_how)
+
+
+@query(E_SQL)
+def rechunk(spark, sf_dir):
+    spec = SpecBuilder().with_shape(1, 64).with_dtype("float32").with_chunks(50, 64).with_codecs([{"name": "bytes", "configuration": {"endian": "little"}}, {"name": "zstd"}]).build()
+    return array(spark, sf_dir, "E", (128, 16)).rechunked(f"{work_folder(spark, 'rechunk')}/array", spec, spark).cells(spark)
+
+
+@query(f"SELECT d1, round(avg(CAST(value AS DOUBLE)), 6) AS mean, min(value) AS low, max(value) AS high, count(*) AS n FROM ({E_SQL}) GROUP BY d1")
+def array_group_stats(spark, sf_dir):
+    cells = array(spark, sf_dir, "E", (128, 16)).cells(spark)
+    return cells.groupBy("d1").agg(F.round(F.avg(F.col("value").cast("double")), 6).alias("mean"), F.min("value").alias("low"), F.max("value").alias("high"), F.count("*").alias("n"))
+
+
+@query("SELECT label, round(sum(CAST(embedding[1] AS DOUBLE)), 5) AS total, count(*) AS n FROM embeddings GROUP BY label")
+def array_join_dim(spark, sf_dir):
+    first = array(spark, sf_dir, "E", (128, 16)).cells(spark).where("d1 = 0")
+    joined = first.join(table(spark, sf_dir, "embeddings").select("vec_id", "label"), F.col("d0") == F.col("vec_id"))
+    return joined.groupBy("label").agg(F.round(F.sum(F.col("value").cast("double")), 5).alias("total"), F.count("*").alias("n"))
+
+
+@query(f"SELECT d0, value FROM ({P_SQL}) ORDER BY value DESC, d0 LIMIT 25")
+def array_topk(spark, sf_dir):
+    return array(spark, sf_dir, "P", (999,)).cells(spark).orderBy(F.desc("value"), "d0").limit(25)
+
+
+@query("SELECT l_partkey AS d0, l_suppkey AS d1, sum(l_quantity) AS value, rank() OVER (PARTITION BY l_suppkey ORDER BY sum(l_quantity) DESC) AS place FROM lineitem GROUP BY 1, 2 QUALIFY place <= 3")
+def array_window(spark, sf_dir):
+    from pyspark.sql import Window
+
+    cells = array(spark, sf_dir, "Q", (64, 32)).cells(spark).where("value <> 0")
+    return cells.withColumn("place", F.rank().over(Window.partitionBy("d1").orderBy(F.desc("value")))).where("place <= 3").withColumn("place", F.col("place").cast("long"))
+
+
+@query("SELECT d AS size, CASE WHEN d // 512 = 0 THEN d WHEN d % (d // (d // 512 + 1)) = 0 THEN d // (d // 512 + 1) ELSE d // (d // 512 + 1) + 1 END AS chunk FROM range(1, 3000) t(d)")
+def default_chunks(spark, sf_dir):
+    d = F.col("size")
+    part = F.floor(d / (F.floor(d / 512) + 1))
+    return spark.range(1, 3000).select(F.col("id").alias("size")).select("size", F.when(d < 512, d).when(d % part == 0, part).otherwise(part + 1).alias("chunk"))
+
+
+def _hierarchy(spark) -> str:
+    root = work_folder(spark, "hierarchy")
+    g = Group.create(root, {"title": "root", "n": 3, "ratio": 0.5, "ok": True, "list": [1, 2, 3], "nested": {"element": "value"}})
+    g.create_array("array", SpecBuilder().with_shape(1024, 1024).with_dtype("uint8").with_chunks(512, 512))
+    g.create_group("subgroup").create_array("array", SpecBuilder().with_shape(10).with_dtype("float64").with_chunks(4))
+    return root
+
+
+@query("SELECT * FROM (VALUES ('', 'group', 3, NULL, NULL), ('array', 'array', 3, 'uint8', '1024x1024'), ('subgroup', 'group', 3, NULL, NULL), ('subgroup/array', 'array', 3, 'float64', '10')) t(path, node_type, zarr_format, data_type, shape)")
+def list_nodes(spark, sf_dir):
+    return nodes(spark, _hierarchy(spark)).select("path", "node_type", "zarr_format", "data_type", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"))
+
+
+@query("SELECT 'root' AS title, 3 AS n, CAST(0.5 AS DOUBLE) AS ratio, TRUE AS ok, CAST(6 AS BIGINT) AS total, 'value' AS element, CAST(NULL AS INTEGER) AS missing")
+def attributes_get(spark, sf_dir):
+    a = F.col("attributes")
+    total = F.aggregate(at.get_array(a, "list", "bigint"), F.lit(0).cast("long"), lambda s, x: s + x)
+    return nodes(spark, _hierarchy(spark)).where("path = ''").select(at.get_string(a, "title").alias("title"), at.get_int(a, "n").alias("n"), at.get_double(a, "ratio").alias("ratio"), at.get_boolean(a, "ok").alias("ok"), total.alias("total"), at.get_string(a, "nested.element").alias("element"), at.get_int(a, "none").alias("missing"))
+
+
+@query("SELECT * FROM (VALUES ('A/1', 'A', '1', 0, 0), ('A/2', 'A', '2', 0, 1), ('B/2', 'B', '2', 1, 1)) t(path, row_name, column_name, row_index, column_index)")
+def plate_wells(spark, sf_dir):
+    return Plate.create(work_folder(spark, "plate"), ["A", "B"], ["1", "2"], ["A/1", "A/2", "B/2"], "test").wells(spark)
+
+
+@query("SELECT * FROM (VALUES (0, 's0', '16x16', '1.0,1.0'), (1, 's1', '8x8', '2.0,2.0')) t(level, path, shape, scale)")
+def image_levels(spark, sf_dir):
+    image = MultiscaleImage.create(work_folder(spark, "image"), [{"name": "y", "type": "space"}, {"name": "x", "type": "space"}])
+    for k in range(2):
+        spec = SpecBuilder().with_shape(16 >> k, 16 >> k).with_dtype("uint16").with_chunks(8, 8).build()
+        image.create_level(f"s{k}", spec, [{"type": "scale", "scale": [float(1 << k)] * 2}])
+    joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "x" if c == "shape" else ",").alias(c)
+    return MultiscaleImage.open(image.group.handle).levels(spark).select("level", "path", joined("shape"), joined("scale"))
+
+
+@query("SELECT 'imageA#physical' AS source, '.#world' AS target, 'translation' AS type")
+def scene_graph_edges(spark, sf_dir):
+    root = work_folder(spark, "scene")
+    axes = [{"name": "y", "type": "space"}, {"name": "x", "type": "space"}]
+    Scene.create(root, [{"name": "world", "axes": axes}], [{"type": "translation", "input": "imageA#physical", "output": ".#world", "translation": [1.0, 2.0]}])
+    MultiscaleImage.create(f"{root}/imageA", axes, "multiscales", "0.6")
+    return Scene.open(root).graph(spark)[1]
