@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import attributes as at
+from ..functions import cells as fc
 from ..grid import grid_frame, projected
 from ..meta import SpecBuilder
 from ..operators.array import Array
@@ -294,6 +295,34 @@ def default_chunks(spark, sf_dir):
     return spark.range(1, 3000).select(F.col("id").alias("size")).select("size", F.when(d < 512, d).when(d % part == 0, part).otherwise(part + 1).alias("chunk"))
 
 
+@query(f"SELECT d1 AS d0, d0 AS d1, value FROM ({E_SQL})")
+def cells_transposed(spark, sf_dir):
+    return fc.transposed(array(spark, sf_dir, "E", (128, 16)).cells(spark), ["d0", "d1"], [1, 0])
+
+
+@query(f"SELECT d0 * 4 + d1 // 16 AS d0, d1 % 16 // 4 AS d1, d1 % 4 AS d2, value FROM ({E_SQL})")
+def cells_reshaped(spark, sf_dir):
+    a = array(spark, sf_dir, "E", (128, 16))
+    n = a.spec.shape[0]
+    return fc.reshaped(a.cells(spark), ["d0", "d1"], (n, 64), (4 * n, 4, 4))
+
+
+@query(f"SELECT d0 // 8 AS c0, d1 // 8 AS c1, bool_and(value = 0) AS empty FROM ({Q_SQL}) GROUP BY 1, 2")
+def blocks_all_equal(spark, sf_dir):
+    blocks = array(spark, sf_dir, "Q", (8, 8)).blocks(spark)
+    return blocks.select(F.col("chunk_coords")[0].alias("c0"), F.col("chunk_coords")[1].alias("c1"), fc.all_equal(F.col("values"), 0.0).alias("empty"))
+
+
+@query("SELECT TRUE AS same")
+def arrays_equal(spark, sf_dir):
+    plain = array(spark, sf_dir, "P", (999,), 3, (("with_codecs", (_GZIPPED,)),))
+    return fc.same_cells(plain.cells(spark), array(spark, sf_dir, "P", (500,)).cells(spark))
+
+
+def _GZIPPED(c):
+    return c.gzip()
+
+
 def _hierarchy(spark) -> str:
     root = work_folder(spark, "hierarchy")
     g = Group.create(root, {"title": "root", "n": 3, "ratio": 0.5, "ok": True, "list": [1, 2, 3], "nested": {"element": "value"}})
