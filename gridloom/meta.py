@@ -118,7 +118,10 @@ class ArraySpec:
         if self.dimension_names is not None and len(self.dimension_names) != len(self.shape):
             raise GridError("dimension names differ in number from the dimensions")
         parse_fill(self.fill_value, self.dtype)
-        self.pipeline()
+        object.__setattr__(self, "_pipeline", self._made_pipeline())
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "_pipeline"}
 
     @property
     def ndim(self) -> int:
@@ -158,6 +161,12 @@ class ArraySpec:
         return [n or f"d{i}" for i, n in enumerate(names)]
 
     def pipeline(self) -> codecs.Pipeline:
+        """The codecs, made once in each process."""
+        if "_pipeline" not in self.__dict__:
+            object.__setattr__(self, "_pipeline", self._made_pipeline())
+        return self._pipeline
+
+    def _made_pipeline(self) -> codecs.Pipeline:
         if self.zarr_format == 2:
             if self.order not in ("C", "F"):
                 raise GridError(f"order {self.order!r}")

@@ -140,7 +140,7 @@ def chunk_projection(spark, sf_dir):
 
 @query(Q_SQL)
 def fill_missing(spark, sf_dir):
-    return array(spark, sf_dir, "Q", (64, 32)).cells(spark)
+    return array(spark, sf_dir, "Q", (512, 128)).cells(spark)
 
 
 @query("SELECT CAST(d AS BIGINT) AS d0, coalesce(toxic = 1, FALSE) AS value FROM (SELECT DISTINCT doc_id AS d FROM documents) LEFT JOIN labels ON d = doc_id")
@@ -284,7 +284,7 @@ def array_topk(spark, sf_dir):
 def array_window(spark, sf_dir):
     from pyspark.sql import Window
 
-    cells = array(spark, sf_dir, "Q", (64, 32)).cells(spark).where("value <> 0")
+    cells = array(spark, sf_dir, "Q", (512, 128)).cells(spark).where("value <> 0")
     return cells.withColumn("place", F.rank().over(Window.partitionBy("d1").orderBy(F.desc("value")))).where("place <= 3").withColumn("place", F.col("place").cast("long"))
 
 

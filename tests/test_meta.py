@@ -6,7 +6,7 @@ import pytest
 
 from gridloom import grid
 from gridloom.codecs import Codec, CodecBuilder, Crc32c, Pipeline, blosc, register_codec
-from gridloom.codecs.checksum import crc32c
+from gridloom.codecs.checksum import _plain, crc32c
 from gridloom.codecs.reshape import resolved, resolved_grid
 from gridloom.errors import GridError
 from gridloom.meta import ArraySpec, GroupSpec, SpecBuilder, default_chunks, parse_fill
@@ -96,8 +96,13 @@ def test_reshape_grid():
     assert resolved_grid((8, 6), (4, 3), [[0, 1]]) == ((48,), (12,)) and resolved_grid((8, 6, 4), (4, 3, 4), [[0, 1], [2]]) == ((48, 4), (12, 4))
 
 
+def test_checksum():
+    assert crc32c(b"123456789") == 0xE3069283 and crc32c(b"") == 0 and crc32c(bytes(32)) == 0x8A9136AA
+    data = bytes(np.random.default_rng(0).integers(0, 256, 50_003, np.uint8))
+    assert crc32c(data) == _plain(data, 0xFFFFFFFF) ^ 0xFFFFFFFF
+
+
 def test_codec_bytes():
-    assert crc32c(b"123456789") == 0xE3069283
     pipeline = Pipeline([{"name": "transpose", "configuration": {"order": [1, 2, 0]}}, BYTES, {"name": "crc32c"}], (2, 3, 3), np.dtype("<i4"), 0)
     data = pipeline.encode(np.arange(18, dtype="i4").reshape(2, 3, 3))
     assert np.frombuffer(data[:-4], "<i4").tolist()[:6] == [0, 9, 1, 10, 2, 11] and pipeline.encoded_size() == len(data) == 76
