@@ -10,13 +10,14 @@ segment, the ids in the task's segments before, the documents' ids and ends, and
 document is. Only per-task totals meet in one place, to give each segment its start.
 
 Defined results: null and empty texts have the end id alone; rows that repeat a doc_id follow each other, ordered by
-their ids; null doc_ids come first; an empty table gives no rows; other columns are not read.
+their text; null doc_ids come first; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,8 @@ BITS = 8
 BLOCK = 512
 SEGMENT_IDS = 1 << 20
 MAGIC = b"DAC1"
-#: White-space chunks whose ids are kept, in each of two generations.
-CACHED = 250_000
+#: Chunks and cores whose ids are kept, each in two generations.
+CACHED = 400_000
 SEGMENTS = "part int, segment int, ids_before long, n_docs long, n_ids long, doc_ids binary, ends binary, code binary"
 
 
@@ -104,76 +105,133 @@ class Codes:
         return out
 
 
-_chunk_ids: dict[str, tuple] = {}
-
-
-def _encoder(tokenizer_file: str):
-    """The library's tokenizer, and the ids of white-space chunks that this process has met."""
-    if tokenizer_file not in _chunk_ids:
-        from tokenizers import Tokenizer
-
-        own = Tokenizer.from_file(tokenizer_file)
-
-        def make(chunk: bytes) -> bytes:
-            return np.asarray(own.encode(chunk.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-
-        _chunk_ids[tokenizer_file] = own, Cache(make, CACHED)
-    return _chunk_ids[tokenizer_file]
-
-
-def encode_text(text: str | None, tokenizer_file: str) -> bytes:
-    """Ids as little-endian unsigned 32-bit integers, as the library gives them for the whole text.
+class ChunkEncoder:
+    """Ids of white-space chunks, as the library gives them, kept in a bounded cache.
 
     The vocabulary drops white space and joins nothing across it, and its normaliser acts within the chunks between
-    ASCII white space alone; so the ids of a text are those of its chunks, each encoded by the library once.
+    ASCII white space alone; so the ids of a text are those of its chunks. A comma or full stop after a letter or
+    number is a token of its own, and letters below U+0180 have the ids of their lower case; so the library sees each
+    such core once, and many new cores in one call.
     """
-    _, chunk_ids = _encoder(tokenizer_file)
-    return b"".join([chunk_ids[c] for c in (text or "").encode().split()])
 
+    def __init__(self, tokenizer_file: str):
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.own, self.lean = Tokenizer.from_file(tokenizer_file), Tokenizer.from_file(tokenizer_file)
+        self.lean.normalizer = None
+        self.lean.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.type, self.code = ("<u2", "H") if self.own.get_vocab_size() <= 1 << 16 else ("<u4", "I")
+        self.cores = Cache(lambda core: self._called([core])[0], CACHED)
+        self.chunks = Cache(self._ids, CACHED)
+        self.stops = dict(zip(".,", self._called([".", ","]), strict=True))
+
+    def split(self, chunk: bytes) -> tuple[str, bytes]:
+        """The core that the library sees, and the ids of the stop after it."""
+        text = chunk.decode()
+        if (text.isascii() or max(text) < "\u0180" and "\u0130" not in text) and "<|" not in text:
+            text = text.lower()
+            if text[-1] in self.stops and text[-2:-1].isalnum():
+                return text[:-1], self.stops[text[-1]]
+        return text, b""
+
+    def _ids(self, chunk: bytes) -> bytes:
+        core, stop = self.split(chunk)
+        return self.cores[core] + stop
+
+    def _called(self, cores: list[str]) -> list[bytes]:
+        """Words of lower-case letters are whole words to the pattern and the same after normalising: ASCII ones go to
+        the library's model, others through its byte alphabet and model, all other cores through the whole tokenizer."""
+        out, model = [b""] * len(cores), self.own.model
+        letters, rest = [], []
+        for i, core in enumerate(cores):
+            if not core.isalpha() or core != core.lower() or max(core) >= "\u0180":
+                rest.append(i)
+            elif core.isascii():
+                out[i] = array(self.code, [t.id for t in model.tokenize(core)]).tobytes()
+            else:
+                letters.append(i)
+        for tokenizer, some in ((self.lean, letters), (self.own, rest)):
+            done = tokenizer.encode([cores[i] for i in some], is_pretokenized=True, add_special_tokens=False)
+            ids = array(self.code, done.ids).tobytes()
+            width = len(ids) // max(1, len(done))
+            cut = (np.searchsorted(np.asarray(done.word_ids, np.int64), np.arange(len(some) + 1)) * width).tolist()
+            for i, start, stop in zip(some, cut[:-1], cut[1:], strict=True):
+                out[i] = ids[start:stop]
+        return out
 
-def tokens(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
-    """doc_id, ids (binary: little-endian unsigned 16-bit or, for larger vocabularies, 32-bit) of each document."""
-
+    def learn(self, met: set[bytes]) -> None:
+        """Meets new chunks' cores in a few calls."""
+        kept, cores, split = self.chunks, self.cores, self.split
+        met.difference_update(kept.keys())
+        known = met & kept.old.keys()
+        for chunk in known:
+            kept.put(chunk, kept.old.get(chunk) or self._ids(chunk))
+        new = [(chunk, *split(chunk)) for chunk in met - known]
+        todo = list({core for _, core, _ in new} - cores.keys() - cores.old.keys())
+        for at in range(0, len(todo), 2000):
+            some = todo[at : at + 2000]
+            for core, ids in zip(some, self._called(some), strict=True):
+                cores.put(core, ids)
+        for chunk, core, stop in new:
+            kept.put(chunk, cores[core] + stop)
+
+    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        cut = [(t or "").encode().split() for t in texts]
+        met: set[bytes] = set()
+        met.update(*cut)
+        self.learn(met)
+        ids = self.chunks.__getitem__
+        return [np.frombuffer(b"".join(map(ids, x)), self.type) for x in cut]
+
+
+_encoders: dict[str, ChunkEncoder] = {}
+
+
+def encoder(tokenizer_file: str) -> ChunkEncoder:
+    """The encoder of this process."""
+    if tokenizer_file not in _encoders:
+        _encoders[tokenizer_file] = ChunkEncoder(tokenizer_file)
+    return _encoders[tokenizer_file]
+
+
+def _segments(tokenizer_file: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        narrow = _encoder(tokenizer_file)[0].get_vocab_size() <= 1 << 16
-        end = struct.pack("<I", end_id)
+        own = encoder(tokenizer_file)
+        end = np.asarray([end_id], own.type)
+        part, number, before, docs, held, n = TaskContext.get().partitionId(), 0, 0, [], [], 0
+
+        def row() -> pa.RecordBatch:
+            ends = np.cumsum([len(x) for x in held]).astype("<i8")
+            ids = np.asarray([-1 if d is None else d for d in docs], "<i8").tobytes() + np.packbits([d is None for d in docs]).tobytes()
+            values = (part, number, before, len(held), int(ends[-1]), ids, ends.tobytes(), packed(np.concatenate(held).astype(np.uint32)))
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
+            names = ["part", "segment", "ids_before", "n_docs", "n_ids", "doc_ids", "ends", "code"]
+            return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], names)
+
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [np.frombuffer(encode_text(t.as_py(), tokenizer_file) + end, "<u4") for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([x.astype("<u2" if narrow else "<u4").tobytes() for x in ids], pa.binary()), pa.array([2 if narrow else 4] * len(ids), pa.int32())], ["doc_id", "ids", "width"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids binary, width int")
-
-
-def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    part, number, before, held, n = TaskContext.get().partitionId(), 0, 0, [], 0
-
-    def row() -> pa.RecordBatch:
-        ids = [np.frombuffer(x, f"<u{w}").astype(np.uint32) for _, x, w in held]
-        ends = np.cumsum([len(x) for x in ids]).astype("<i8")
-        docs = np.asarray([-1 if d is None else d for d, _, _ in held], "<i8").tobytes() + np.packbits([d is None for d, _, _ in held]).tobytes()
-        values = (part, number, before, len(held), int(ends[-1]), docs, ends.tobytes(), packed(np.concatenate(ids)))
-        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], ["part", "segment", "ids_before", "n_docs", "n_ids", "doc_ids", "ends", "code"])
+                some = batch.slice(at, 512)
+                for doc_id, ids in zip(some.column(0).to_pylist(), own.encode(some.column(1).to_pylist()), strict=True):
+                    docs.append(doc_id)
+                    held.append(np.concatenate((ids, end)))
+                    n += len(ids) + 1
+                    if n >= SEGMENT_IDS:
+                        yield row()
+                        number, before, docs, held, n = number + 1, before + n, [], [], 0
+        if held:
+            yield row()
 
-    for batch in batches:
-        for doc_id, ids, width in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-            held.append((doc_id.as_py(), ids.as_py(), width.as_py()))
-            n += len(held[-1][1]) // held[-1][2]
-            if n >= SEGMENT_IDS:
-                yield row()
-                number, before, held, n = number + 1, before + n, [], 0
-    if held:
-        yield row()
+    return run
 
 
 def write_codes(docs: DataFrame, tokenizer_file: str, end_id: int) -> DataFrame:
     """The segments, written to the shared folder in ascending doc_id order and read again."""
     folder = work_folder(docs.sparkSession, "codes")
-    known = stored(tokens(docs, tokenizer_file, end_id), folder, "tokens")
-    ordered = known.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "ids")
-    return stored(ordered.mapInArrow(_segments, SEGMENTS), folder, "segments")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    return stored(ordered.mapInArrow(_segments(tokenizer_file, end_id), SEGMENTS), folder, "segments")
 
 
 def placed(segments: DataFrame) -> DataFrame:

@@ -28,9 +28,16 @@ def test_codes_round_trip(ids, data):
 
 
 @settings(max_examples=300, deadline=None)
-@given(st.one_of(st.text(max_size=60), st.text("aA é́̊J̌   'stDdlre <|endoftext>\t\n\x1c\x850½", max_size=60)))
+@given(st.one_of(st.text(max_size=60), st.text("aA é́̊J̌   'stDdlre <|endoftext|>.,!İŸŒß\t\n\x1c\x850½", max_size=60)))
 def test_chunks_give_the_ids_of_the_whole_text(text):
-    assert np.frombuffer(tc.encode_text(text, FILE), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+    assert tc.encoder(FILE).encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("abcdehinorstTHEéÉçßñüÄŒºŉſĸ", min_size=1, max_size=14), max_size=20))
+def test_plain_words(words):
+    text = " ".join(words)
+    assert tc.encoder(FILE).encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
 def test_frames(spark, monkeypatch):
