@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 
 SPACE_MARK = "▁"
 #: Units kept in each of a cache's two generations.
-CACHED = 250_000
+CACHED = 150_000
 
 #: A run of marks with letters, a run of marks with other characters, or marks alone.
 UNIT_BY_CLASS = re.compile("▁*(?:[^\\W\\d_]+|(?:(?!▁)[\\W\\d_])+)|▁+")
@@ -85,7 +85,7 @@ class PieceCodec:
         self.unit = UNIT_BY_CLASS if all(letters.match(p) for p in inner) else UNIT_BY_SPACE
         if any(SPACE_MARK in p for p in inner):
             raise ValueError("a piece holds a space mark after another character; units can't be cut at spaces")
-        self.pairs = Cache(self._compatible, 500_000)
+        self.pairs = Cache(self._compatible, 200_000)
         self.units = Cache(self._kept, CACHED)
 
     def _compatible(self, key: int) -> bool:

@@ -36,7 +36,7 @@ MAX_LABELLED = 12_000
 LEAST_DOCS = 5
 EPOCHS, BATCH, RATE, L1 = 14, 128, 0.3, 1.2e-3
 KEEP_FROM, KEEP_AT = 2, 0.4
-CACHED = 300_000
+CACHED = 100_000
 WORD = re.compile(r"\w+")
 GRADES = 3
 
