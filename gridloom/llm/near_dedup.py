@@ -11,9 +11,12 @@ differs with probability 0.15, and the radius is 4.7 standard deviations above t
 3. Stars: each class is compared with two leaders of each of its keys: signature, then full shingle sets. Confirmed
    links give components; a large group of near copies falls together here after a number of comparisons in
    proportion to its size.
-4. Rest: only keys whose classes still lie in several components are open. All pairs of such a key in different
-   components are compared, by a join for small keys and in blocks of bounded size for large ones, so no pair within
-   the radius is lost.
+4. Rest: only keys whose classes still lie in several components are open. All pairs of a small open key in different
+   components are compared. Large open keys hold variants of one text or texts with a common passage, most pairs of
+   which are near but not linked; for their classes the shared key is replaced by a rare shingle: with the shingles of
+   all these classes in one order, rare ones first, two linked sets have one in common among the first
+   n - ceil(0.85 n) + 1 of each. Keys of that kind that are large again are compared in blocks of bounded size.
+   So no link within the radius is lost.
 5. Final components over all confirmed links.
 
 Shingles are 64-bit fingerprints of word triples; links are confirmed on the full sets of them, which are made again
@@ -34,12 +37,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_set, stored, with_membership, work_folder
 from .components import components
-from .pieces import Cache
 
 SYMBOLS, CHUNKS, ERRORS = 64, 12, 1
 RADIUS = CHUNKS * (ERRORS + 1) - 1
@@ -50,11 +52,8 @@ SHINGLE = 3
 SMALL_KEY = 24
 #: Classes in one block.
 BLOCK = 1024
-#: Words whose fingerprints a Python worker keeps, in each of two generations.
-CACHED = 300_000
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_words = Cache(lambda w: xxhash.xxh3_64_intdigest(w), CACHED)
 _random = np.random.default_rng(20240607)
 _A = _random.integers(0, 2**63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _random.integers(0, 2**63, SYMBOLS, np.uint64)
@@ -68,7 +67,7 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     words = (text or "").encode().lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    h = np.fromiter(map(_words.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     size = min(size, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for k in range(size):
@@ -132,14 +131,19 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _near_in_block(rows: pa.Table) -> pa.Table:
-    """Pairs of one key within the radius and in different components; ``side`` says which block a class is of."""
-    side, ids, comp, n = (rows.column(c).to_numpy() for c in ("side", "id", "component", "n_shingles"))
+    """Pairs of one key within the radius and in different components; ``side`` says which block a class is of.
+
+    At the first rare shingle that two sets share, what follows it in both bounds what they share; so a pair whose
+    bound is too small is left to an earlier shared key, or is no link."""
+    side, ids, comp, n, rank = (rows.column(c).to_numpy() for c in ("side", "id", "component", "n_shingles", "rank"))
     signs = _matrix(rows.column("sign").combine_chunks() if rows.num_rows else pa.array([], pa.binary()))
     left = np.flatnonzero(side != 1)
     right = np.flatnonzero(side != 0)
     found: tuple[list, list] = ([], [])
     for i in left:
         js = right[(comp[right] != comp[i]) & _may_link(n[right], n[i])]
+        most = 1 + np.minimum(n[i] - rank[i], n[js] - rank[js])  # shared, if nothing before the key is
+        js = js[(100 + PERCENT) * most >= PERCENT * (n[i] + n[js])]
         js = js[(signs[js] != signs[i]).sum(axis=1) <= RADIUS]
         for j in js:
             found[0].append(min(ids[i], ids[j]))
@@ -182,19 +186,31 @@ class _Job:
         right = self.classes.select(F.col("id").alias("b"), F.col("n_shingles").alias("m"), F.col("sign").alias("t"))
         return pairs.join(left, "a").join(right, "b").select("a", "b", "n", "m", "s", "t").mapInArrow(_near, "a long, b long")
 
+    def sets(self, ids: DataFrame, name: str) -> DataFrame:
+        """id, members (the full set) of the classes in ``ids`` (column doc_id), made from their texts."""
+        wanted = stored(ids.distinct(), self.folder, f"ids-{name}")
+        some = with_membership(self.docs, "doc_id", bounded_set(wanted, "doc_id", self.folder, f"set-{name}"), "wanted").where("wanted")
+        sets = some.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, members binary")
+        return stored(sets.where(F.length("members") > 0), self.folder, f"sets-{name}")
+
     def linked(self, pairs: DataFrame) -> DataFrame:
         """Of pairs within the radius: those whose full sets are similar."""
         self.passes += 1
         k, folder = self.passes, self.folder
         pairs = stored(pairs.distinct(), folder, f"pairs-{k}")
-        ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        wanted = stored(ids, folder, f"ids-{k}")
-        some = with_membership(self.docs, "doc_id", bounded_set(wanted, "doc_id", folder, f"set-{k}"), "wanted").where("wanted")
-        sets = some.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(_sets, "id long, members binary")
-        sets = stored(sets.where(F.length("members") > 0), folder, f"sets-{k}")
+        sets = self.sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), f"links-{k}")
         left, right = sets.select(F.col("id").alias("a"), F.col("members").alias("x")), sets.select(F.col("id").alias("b"), F.col("members").alias("y"))
         return stored(pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(_similar, "a long, b long"), folder, f"links-{k}")
 
+    def rare_shingles(self, ids: DataFrame) -> DataFrame:
+        """key (a shingle), id, rank: those among each set's rarest that a linked set must share one of."""
+        each = stored(self.sets(ids, "rare").mapInArrow(_exploded, "id long, s long, n int"), self.folder, "shingles")
+        held = each.groupBy("s").agg(F.count("*").alias("held")).where("held > 1")
+        own = each.join(held, "s")
+        rank = F.row_number().over(Window.partitionBy("id").orderBy("held", "s")) + F.col("n") - F.count("*").over(Window.partitionBy("id"))
+        first = F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1
+        return own.withColumn("rank", rank).where(F.col("rank") <= first).select(F.col("s").alias("key"), "id", "rank")
+
 
 def near_classes(docs: DataFrame) -> tuple[_Job, DataFrame]:
     """The job with its classes, and id, component of those classes that have links."""
@@ -214,23 +230,46 @@ def near_classes(docs: DataFrame) -> tuple[_Job, DataFrame]:
     placed = job.classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = stored(placed.select("id", "component", "n_shingles", "sign"), folder, "placed")
     members = shared.join(placed.select("id", "component"), "id")
-    still = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = stored(members.join(still, "key"), folder, "open")
-    few = rest.where(F.col("size") <= SMALL_KEY).select("key", "id", "component")
-    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("c"))
-    pairs = few.join(other, "key").where("id < b and component <> c").select(F.col("id").alias("a"), "b").distinct()
-    near = job.near(pairs).unionByName(_blocks(rest.where(F.col("size") > SMALL_KEY), placed))
+    rest = stored(_open(members), folder, "open")
+    pairs = _pairs(rest.where(F.col("size") <= SMALL_KEY))
+    large = rest.where(F.col("size") > SMALL_KEY).select(F.col("id").alias("doc_id"))
+    rare = job.rare_shingles(large).join(placed.select("id", "component"), "id")
+    rare = stored(_open(rare.join(rare.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "key")), folder, "rare")
+    pairs = pairs.unionByName(_pairs(rare.where(F.col("size") <= SMALL_KEY))).distinct()
+    near = job.near(pairs).unionByName(_blocks(rare.where(F.col("size") > SMALL_KEY), placed))
     more = job.linked(near)
     return job, components(links.unionByName(more), folder, "all")
 
 
+def _open(members: DataFrame) -> DataFrame:
+    """The rows of keys whose classes lie in several components."""
+    still = members.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
+    return members.join(still, "key")
+
+
+def _pairs(few: DataFrame) -> DataFrame:
+    """a < b in different components of small keys."""
+    few = few.select("key", "id", "component")
+    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("c"))
+    return few.join(other, "key").where("id < b and component <> c").select(F.col("id").alias("a"), "b").distinct()
+
+
+def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            own = [np.frombuffer(x.as_py(), np.int64) for x in part.column(1)]
+            sizes = [len(x) for x in own]
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column(0).to_numpy(), sizes)), pa.array(np.concatenate(own)), pa.array(np.repeat(sizes, sizes).astype(np.int32))], ["id", "s", "n"])
+
+
 def _blocks(rest: DataFrame, placed: DataFrame) -> DataFrame:
     """Pairs within the radius among classes of large open keys: every two blocks of a key meet in one task."""
     n = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("id"), n).cast("int")
-    rows = rest.select("key", "id", n.alias("n"), own.alias("own")).join(placed, "id")
+    rows = rest.select("key", "id", "rank", n.alias("n"), own.alias("own")).join(placed, "id")
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "n_shingles", "sign")
+    rows = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), F.when(F.col("own") == F.col("other"), 2).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "id", "component", "n_shingles", "rank", "sign")
     return rows.groupBy("key", "i", "j").applyInArrow(_near_in_block, "a long, b long")
 
 
