@@ -6,7 +6,8 @@ The tree is grown from the table's own URLs:
 2. Level by level, a node of a host with more than ``WIDE`` different children that are rare (fewer than ``RARE`` URLs
    each on average) has its children generalised into one ``*``.
 3. Sibling branches are merged where their labelled URLs don't tell them apart: a branch whose share of bad URLs lies
-   within ``Z`` standard deviations of its siblings' together, or that has no labels, joins the branch ``~``.
+   within ``Z`` standard deviations of its siblings' together, or that has no labels, joins the branch ``~``
+   (unlabelled ones stay apart with ``evidence``).
 4. A template is rejected where its smoothed labelled purity, (bad + STRENGTH * prior) / (labelled + STRENGTH) with
    the table's overall share as the prior, is at least ``PURITY``.
 
@@ -65,8 +66,17 @@ def segments(path: Column) -> list[Column]:
     return own
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """host, s0 ... of every path shape, with its template; ``urls``: host, s0 ..., bad (1, 0 or null: not labelled)."""
+def told_apart(node: tuple[Column, Column]) -> Column:
+    """Whether a branch (bad, labelled) differs from its labelled siblings (``node``: sums with it). The variance is
+    smoothed by a URL of each kind, so a share of 0 or 1 has one too."""
+    others, m = node[1] - F.col("labelled"), F.col("labelled")
+    p = (node[0] + 1) / (node[1] + 2)
+    return F.abs(F.col("bad") / m - (node[0] - F.col("bad")) / others) > Z * F.sqrt(p * (1 - p) * (1 / m + 1 / others))
+
+
+def templates(urls: DataFrame, evidence: bool = False) -> DataFrame:
+    """host, s0 ... of every path shape, with its template; ``urls``: host, s0 ..., bad (1, 0 or null: not labelled).
+    ``evidence``: a branch is merged only by labels of its own, see ``url_filter``."""
     own = [f"s{k}" for k in range(DEPTH)]
     shapes = urls.groupBy("host", *own).agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("labelled"))
     shapes = shapes.withColumn("t0", F.lit(""))
@@ -77,15 +87,23 @@ def templates(urls: DataFrame) -> DataFrame:
         wild = (F.col("children") > WIDE) & (F.col("urls") < RARE * F.col("children"))
         p = F.col("all_bad") / F.col("all_labelled")
         alike = (F.col("labelled") == 0) | (F.abs(F.col("bad") - F.col("labelled") * p) <= Z * F.sqrt(F.col("labelled") * p * (1 - p)))
+        if evidence:
+            others = F.col("all_labelled") - F.col("labelled")
+            alike = F.when((F.col("labelled") > 0) & (others > 0), ~told_apart((F.col("all_bad"), F.col("all_labelled")))).otherwise(False)
         name = F.when(F.col(f"s{k}") == "", "").when(wild | (F.col(f"s{k}") == "*"), "/*").when((F.col("children") > 1) & (F.col("all_labelled") > 0) & alike, "/~").otherwise(F.concat(F.lit("/"), f"s{k}"))
         child = child.select("host", f"t{k}", f"s{k}", F.concat(f"t{k}", name).alias(f"t{k + 1}"))
         shapes = shapes.join(child, ["host", f"t{k}", f"s{k}"])
     return shapes.select("host", *own, F.col(f"t{DEPTH}").alias("template"), "n", "bad", "labelled")
 
 
-def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
+def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, evidence: bool | None = None) -> DataFrame:
     """page_id, host, path, rule, verdict, template of each row. ``labelled``: url, bad (1 or 0); else the rules' own
-    verdicts are the labels."""
+    verdicts are the labels.
+
+    ``evidence`` (by default where there is a labelled table): branches without labelled URLs stay apart, a labelled
+    one is compared with its siblings without it, and a template without labelled URLs is never rejected. Off, the
+    tree is that of ``oracle_sql``, which binds the registered query: unlabelled branches join their siblings."""
+    evidence = labelled is not None if evidence is None else evidence
     folder = work_folder(pages.sparkSession, "urls")
     host, path = host_and_path(F.col("url"))
 
@@ -96,9 +114,11 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES)
     urls = stored(shaped(pages, "page_id"), folder, "urls")
     by_rule = urls.where("host <> ''").withColumn("bad", F.when(F.col("r.verdict") == "block", 1).when(F.col("r.verdict") == "allow", 0))
     given = by_rule if labelled is None else by_rule.withColumn("bad", F.lit(None).cast("int")).drop("page_id").unionByName(shaped(labelled, "bad").where("host <> ''"))
-    known = stored(templates(given), folder, "templates")
+    known = stored(templates(given, evidence), folder, "templates")
     prior = known.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0)).alias("prior"))
     pure = known.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).crossJoin(F.broadcast(prior))
+    if evidence:
+        pure = pure.where("labelled > 0")
     pure = pure.where((F.col("bad") + STRENGTH * F.col("prior")) / (F.col("labelled") + STRENGTH) >= PURITY).select("host", "template", F.lit("block").alias("rejected"))
     own = ["host", *(f"s{k}" for k in range(DEPTH))]
     judged = urls.join(known.select(*own, "template").join(pure, ["host", "template"], "left"), own, "left")

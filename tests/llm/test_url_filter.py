@@ -97,3 +97,19 @@ def test_labelled_urls_reject_a_template(spark):
 
 def test_empty_table(spark):
     assert uf.url_filter(spark.createDataFrame([], "page_id long, url string")).collect() == []
+
+
+def verdicts(spark, own, labelled=None):
+    own = spark.createDataFrame(list(enumerate(own)), "page_id long, url string")
+    labelled = labelled and spark.createDataFrame(labelled, "url string, bad int")
+    return {r.page_id: (r.verdict, r.template) for r in uf.url_filter(own, labelled, **({} if labelled else {"evidence": True})).collect()}
+
+
+def test_branches_without_labels_are_not_rejected(spark):
+    own = [f"https://h.net/{lang}/{i}" for lang in ("es", "fr", "de", "en") for i in range(30)] + ["https://q.net/es/1", "https://q.net/de/1"]
+    got = verdicts(spark, own)
+    assert [got[i] for i in (0, 30, 60, 90)] == [("block", "/~/*"), ("block", "/~/*"), ("allow", "/de/*"), ("allow", "/en/*")]
+    assert got[120][0] == "block" and got[121] == ("allow", "/de/*")
+    labelled = [(f"https://h.net/{s}/{i}", int(s != "good")) for s, n in (("bad", 60), ("worse", 60), ("good", 20)) for i in range(n)]
+    got = verdicts(spark, ["https://h.net/new/1", "https://h.net/good/9", "https://h.net/bad/9", "https://else.net/x"], labelled)
+    assert [got[i][0] for i in range(4)] == ["allow", "allow", "block", "allow"]
