@@ -4,7 +4,7 @@ The tree is grown from the table's own URLs:
 
 1. Segments that look variable (digits, or long with digits) become ``*``; so does what stands below ``DEPTH`` segments.
 2. Level by level, a node of a host with more than ``WIDE`` different children that are rare (fewer than ``RARE`` URLs
-   each on average) has its children generalised into one ``*``.
+   each on average) has its children generalised into one ``*`` (with ``evidence`` only those that are rare themselves).
 3. Sibling branches are merged where their labelled URLs don't tell them apart: a branch whose share of bad URLs lies
    within ``Z`` standard deviations of its siblings' together, or that has no labels, joins the branch ``~``
    (unlabelled ones stay apart with ``evidence``).
@@ -66,12 +66,23 @@ def segments(path: Column) -> list[Column]:
     return own
 
 
-def told_apart(node: tuple[Column, Column]) -> Column:
-    """Whether a branch (bad, labelled) differs from its labelled siblings (``node``: sums with it). The variance is
-    smoothed by a URL of each kind, so a share of 0 or 1 has one too."""
-    others, m = node[1] - F.col("labelled"), F.col("labelled")
-    p = (node[0] + 1) / (node[1] + 2)
-    return F.abs(F.col("bad") / m - (node[0] - F.col("bad")) / others) > Z * F.sqrt(p * (1 - p) * (1 / m + 1 / others))
+def named(child: DataFrame) -> DataFrame:
+    """host, t, s and the name below t of every branch s; ``child``: host, t, s, n, bad, labelled.
+
+    The rare children of a wide node are compared and generalised among themselves, the others merged among
+    themselves, and only by labels of their own. The variance is smoothed by a URL of each kind, so a share of 0 or 1
+    has one too."""
+    rare = (F.col("n") < RARE) & ~F.col("s").isin("", "*")
+    wide = child.groupBy("host", "t").agg((F.sum(rare.cast("int")) > WIDE).alias("wide"))
+    child = child.join(wide, ["host", "t"]).withColumn("few", F.col("wide") & (rare | (F.col("s") == "*")))
+    node = child.groupBy("host", "t", "few").agg(F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
+    child = child.join(node, ["host", "t", "few"])
+    m, others = F.col("labelled"), F.col("all_labelled") - F.col("labelled")
+    both = (m > 0) & (others > 0)
+    p = (F.col("all_bad") + 1) / (F.col("all_labelled") + 2)
+    apart = F.when(both, F.abs(F.col("bad") / m - (F.col("all_bad") - F.col("bad")) / others) > Z * F.sqrt(p * (1 - p) * (1 / m + 1 / others))).otherwise(False)
+    name = F.when(F.col("s") == "", "").when((F.col("s") == "*") | F.col("few") & ~apart, "/*").when(both & ~apart, "/~").otherwise(F.concat(F.lit("/"), "s"))
+    return child.select("host", "t", "s", name.alias("name"))
 
 
 def templates(urls: DataFrame, evidence: bool = False) -> DataFrame:
@@ -82,14 +93,15 @@ def templates(urls: DataFrame, evidence: bool = False) -> DataFrame:
     shapes = shapes.withColumn("t0", F.lit(""))
     for k in range(DEPTH):
         child = shapes.groupBy("host", f"t{k}", f"s{k}").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+        if evidence:
+            child = named(child.withColumnsRenamed({f"t{k}": "t", f"s{k}": "s"})).select("host", F.col("t").alias(f"t{k}"), F.col("s").alias(f"s{k}"), F.concat("t", "name").alias(f"t{k + 1}"))
+            shapes = shapes.join(child, ["host", f"t{k}", f"s{k}"])
+            continue
         node = child.groupBy("host", f"t{k}").agg(F.count("*").alias("children"), F.sum("n").alias("urls"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
         child = child.join(node, ["host", f"t{k}"])
         wild = (F.col("children") > WIDE) & (F.col("urls") < RARE * F.col("children"))
         p = F.col("all_bad") / F.col("all_labelled")
         alike = (F.col("labelled") == 0) | (F.abs(F.col("bad") - F.col("labelled") * p) <= Z * F.sqrt(F.col("labelled") * p * (1 - p)))
-        if evidence:
-            others = F.col("all_labelled") - F.col("labelled")
-            alike = F.when((F.col("labelled") > 0) & (others > 0), ~told_apart((F.col("all_bad"), F.col("all_labelled")))).otherwise(False)
         name = F.when(F.col(f"s{k}") == "", "").when(wild | (F.col(f"s{k}") == "*"), "/*").when((F.col("children") > 1) & (F.col("all_labelled") > 0) & alike, "/~").otherwise(F.concat(F.lit("/"), f"s{k}"))
         child = child.select("host", f"t{k}", f"s{k}", F.concat(f"t{k}", name).alias(f"t{k + 1}"))
         shapes = shapes.join(child, ["host", f"t{k}", f"s{k}"])

@@ -1,6 +1,8 @@
 import re
 from collections import Counter, defaultdict
 
+import pytest
+
 from gridloom.llm import url_filter as uf
 
 
@@ -113,3 +115,12 @@ def test_branches_without_labels_are_not_rejected(spark):
     labelled = [(f"https://h.net/{s}/{i}", int(s != "good")) for s, n in (("bad", 60), ("worse", 60), ("good", 20)) for i in range(n)]
     got = verdicts(spark, ["https://h.net/new/1", "https://h.net/good/9", "https://h.net/bad/9", "https://else.net/x"], labelled)
     assert [got[i][0] for i in range(4)] == ["allow", "allow", "block", "allow"]
+
+
+@pytest.mark.parametrize("clean", [True, False])
+def test_frequent_branches_beside_rare_ones_stay_apart(spark, clean):
+    labelled = [(f"https://f.org/pills/{i}", 1) for i in range(60)] + [(f"https://f.org/tag{i}x", 0) for i in range(40) if clean]
+    own = [f"https://f.org/tag{i}x" for i in range(40)] + ["https://f.org/pills/99"]
+    got = verdicts(spark, own, labelled)
+    assert got[40] == ("block", "/pills/*")
+    assert {got[i] for i in range(40)} == {("allow", "/*")}
