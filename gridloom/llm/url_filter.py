@@ -2,7 +2,8 @@
 
 The tree is grown from the table's own URLs:
 
-1. Segments that look variable (digits, or long with digits) become ``*``; so does what stands below ``DEPTH`` segments.
+1. Segments that look variable (digits, or long with digits) become ``*``; so does what stands below ``DEPTH`` segments
+   (with ``evidence`` the tree is as deep as the paths).
 2. Level by level, a node of a host with more than ``WIDE`` different children that are rare (fewer than ``RARE`` URLs
    each on average) has its children generalised into one ``*`` (with ``evidence`` only those that are rare themselves).
 3. Sibling branches are merged where their labelled URLs don't tell them apart: a branch whose share of bad URLs lies
@@ -57,12 +58,17 @@ def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     return found
 
 
-def segments(path: Column) -> list[Column]:
-    """The first ``DEPTH`` segments with variable ones as ``*``; a deeper path ends in ``*``; "" where there is none."""
+def shape(path: Column) -> Column:
+    """All segments, with variable ones as ``*``."""
     parts = F.filter(F.split(path, "/"), lambda x: x != "")
-    general = F.transform(parts, lambda x: F.when(x.rlike(r"^[0-9._-]+(\.[A-Za-z]{1,5})?$") | ((F.length(x) >= 12) & x.rlike("[0-9]")), F.lit("*")).otherwise(x))
+    return F.transform(parts, lambda x: F.when(x.rlike(r"^[0-9._-]+(\.[A-Za-z]{1,5})?$") | ((F.length(x) >= 12) & x.rlike("[0-9]")), F.lit("*")).otherwise(x))
+
+
+def segments(path: Column) -> list[Column]:
+    """The first ``DEPTH`` segments of the shape; a deeper path ends in ``*``; "" where there is none."""
+    general = shape(path)
     own = [F.coalesce(F.get(general, F.lit(k)), F.lit("")) for k in range(DEPTH)]
-    own[-1] = F.when(F.size(parts) > DEPTH, F.lit("*")).otherwise(own[-1])
+    own[-1] = F.when(F.size(general) > DEPTH, F.lit("*")).otherwise(own[-1])
     return own
 
 
@@ -85,18 +91,41 @@ def named(child: DataFrame) -> DataFrame:
     return child.select("host", "t", "s", name.alias("name"))
 
 
-def templates(urls: DataFrame, evidence: bool = False) -> DataFrame:
-    """host, s0 ... of every path shape, with its template; ``urls``: host, s0 ..., bad (1, 0 or null: not labelled).
-    ``evidence``: a branch is merged only by labels of its own, see ``url_filter``."""
+def grown(urls: DataFrame, folder: str) -> DataFrame:
+    """host, shape of every path, with its template, to any depth; ``urls``: host, shape, bad (1, 0 or null).
+
+    A node whose paths all go on alike is passed at once, so there are as many rounds as branchings in one path."""
+    left = urls.groupBy("host", "shape").agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("labelled"))
+    left = stored(left.select("*", F.lit("").alias("t"), F.col("shape").alias("rest")), folder, "shapes")
+    done = []
+    below = F.concat_ws("", F.transform(F.slice("rest", 1, F.col("same")), lambda x: F.concat(F.lit("/"), x)))
+    while not left.isEmpty():
+        level = f"level{len(done)}"
+        # The least and the greatest path of a node have no more in common than all of them.
+        node = left.groupBy("host", "t").agg(F.min("rest").alias("low"), F.max("rest").alias("high"))
+        differs = F.array_position(F.zip_with("low", "high", lambda a, b: ~a.eqNullSafe(b)), True)
+        same = F.when(differs > 0, differs - 1).otherwise(F.size("low")).cast("int")
+        node = node.select("host", "t", same.alias("same"), (F.col("low") == F.col("high")).alias("lone"))
+        at = left.join(node, ["host", "t"]).withColumn("t", F.concat("t", below)).withColumn("rest", F.expr("slice(rest, same + 1, size(rest))"))
+        at = stored(at.drop("same"), folder, f"{level}-at")
+        split = at.where("not lone").withColumn("s", F.coalesce(F.get("rest", F.lit(0)), F.lit("")))
+        child = split.groupBy("host", "t", "s").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
+        more = split.where("s <> ''").join(named(child), ["host", "t", "s"]).withColumn("t", F.concat("t", "name"))
+        done.append(at.where("lone or size(rest) = 0"))
+        left = stored(more.select("host", "shape", "n", "bad", "labelled", "t", F.expr("slice(rest, 2, size(rest))").alias("rest")), folder, level)
+    out = urls.sparkSession.createDataFrame([], "host string, shape array<string>, template string, n long, bad long, labelled long")
+    for part in done:
+        out = out.unionByName(part.select("host", "shape", F.col("t").alias("template"), "n", "bad", "labelled"))
+    return out
+
+
+def templates(urls: DataFrame) -> DataFrame:
+    """host, s0 ... of every path shape, with its template; ``urls``: host, s0 ..., bad (1, 0 or null: not labelled)."""
     own = [f"s{k}" for k in range(DEPTH)]
     shapes = urls.groupBy("host", *own).agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("labelled"))
     shapes = shapes.withColumn("t0", F.lit(""))
     for k in range(DEPTH):
         child = shapes.groupBy("host", f"t{k}", f"s{k}").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-        if evidence:
-            child = named(child.withColumnsRenamed({f"t{k}": "t", f"s{k}": "s"})).select("host", F.col("t").alias(f"t{k}"), F.col("s").alias(f"s{k}"), F.concat("t", "name").alias(f"t{k + 1}"))
-            shapes = shapes.join(child, ["host", f"t{k}", f"s{k}"])
-            continue
         node = child.groupBy("host", f"t{k}").agg(F.count("*").alias("children"), F.sum("n").alias("urls"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
         child = child.join(node, ["host", f"t{k}"])
         wild = (F.col("children") > WIDE) & (F.col("urls") < RARE * F.col("children"))
@@ -121,18 +150,19 @@ def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES,
 
     def shaped(df: DataFrame, *more: Column | str) -> DataFrame:
         df = df.select(*more, host.alias("host"), path.alias("path"))
-        return df.select("*", *(c.alias(f"s{k}") for k, c in enumerate(segments(F.col("path")))), rule_of(F.col("host"), F.col("path"), rules).alias("r"))
+        shaped = [shape(F.col("path")).alias("shape")] if evidence else [c.alias(f"s{k}") for k, c in enumerate(segments(F.col("path")))]
+        return df.select("*", *shaped, rule_of(F.col("host"), F.col("path"), rules).alias("r"))
 
     urls = stored(shaped(pages, "page_id"), folder, "urls")
     by_rule = urls.where("host <> ''").withColumn("bad", F.when(F.col("r.verdict") == "block", 1).when(F.col("r.verdict") == "allow", 0))
     given = by_rule if labelled is None else by_rule.withColumn("bad", F.lit(None).cast("int")).drop("page_id").unionByName(shaped(labelled, "bad").where("host <> ''"))
-    known = stored(templates(given, evidence), folder, "templates")
+    known = stored(grown(stored(given.select("host", "shape", "bad"), folder, "given"), folder) if evidence else templates(given), folder, "templates")
     prior = known.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0)).alias("prior"))
     pure = known.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).crossJoin(F.broadcast(prior))
     if evidence:
         pure = pure.where("labelled > 0")
     pure = pure.where((F.col("bad") + STRENGTH * F.col("prior")) / (F.col("labelled") + STRENGTH) >= PURITY).select("host", "template", F.lit("block").alias("rejected"))
-    own = ["host", *(f"s{k}" for k in range(DEPTH))]
+    own = ["host", "shape"] if evidence else ["host", *(f"s{k}" for k in range(DEPTH))]
     judged = urls.join(known.select(*own, "template").join(pure, ["host", "template"], "left"), own, "left")
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "rejected", F.lit("allow")).alias("verdict"), "template")
 

@@ -124,3 +124,9 @@ def test_frequent_branches_beside_rare_ones_stay_apart(spark, clean):
     got = verdicts(spark, own, labelled)
     assert got[40] == ("block", "/pills/*")
     assert {got[i] for i in range(40)} == {("allow", "/*")}
+
+
+def test_deep_branches_are_told_apart(spark):
+    labelled = [(f"https://f.org/a/b/c/{s}/{i}", int(s == "spam")) for s in ("spam", "news") for i in range(60)] + [("https://g.org/" + "x/" * 40 + "y", 0)]
+    got = verdicts(spark, ["https://f.org/a/b/c/spam/99", "https://f.org/a/b/c/news/99", "https://f.org/a/b", "https://f.org/", "https://g.org/" + "x/" * 40 + "z"], labelled)
+    assert got == {0: ("block", "/a/b/c/spam/*"), 1: ("allow", "/a/b/c/news/*"), 2: ("allow", "/a/b"), 3: ("allow", ""), 4: ("allow", "/x" * 40 + "/z")}
