@@ -6,11 +6,11 @@ each document is scanned once, and matches are mapped back to its words and to c
 
 The automaton is made from the benchmark alone. Its size is measured first: up to ``max_chars`` of item text it is
 broadcast as a whole; a larger benchmark is cut into item shards under that bound, each broadcast for a pass of its
-own, and the passes' hits are united per document.
+own over the stored rows, and the passes' hits are united per row; so a row gives a row at every benchmark size.
 
 Defined results: a null or wordless text has no words, no hits and no items; null or wordless items have no windows;
-rows that repeat an item_id add their windows to one item; rows that repeat a doc_id give a row each (one together,
-where the benchmark takes several passes); empty tables give no rows or no hits; other columns are not read.
+rows that repeat an item_id add their windows to one item; rows that repeat a doc_id, or have none, give a row each;
+empty tables give no rows or no hits; other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored, work_folder
+
 WINDOW = 10
 #: Characters of item text in one automaton; patterns take about ``WINDOW`` times as many bytes in each worker.
 MAX_CHARS = 8_000_000
@@ -31,6 +33,8 @@ MAX_CHARS = 8_000_000
 #: The contract's word class, with A-Z, which ``normalised`` lower-cases.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
+#: A hit word (its position and its code points) and the items of a row in one pass.
+PASS = "row long, doc_id long, n_words long, at array<struct<k:int,start:int,stop:int>>, items array<string>"
 SCHEMA = "doc_id long, n_words long, hits array<int>, spans array<struct<start:int,stop:int>>, items array<string>"
 
 
@@ -100,24 +104,53 @@ def _scan(items, window: int):
     return scan
 
 
+def _pass(items, window: int, first: bool):
+    """Of row, doc_id, text: ``PASS`` of all rows in the first pass, of rows with hits in the others."""
+    built: list = []
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not built:
+            built.append(automaton(items.value, window))
+        for batch in batches:
+            rows = []
+            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n, joined = normalised(text)
+                hits, ids = hit_words(built[0], n, joined)
+                if hits or first:
+                    spans = [m.span() for m in WORD.finditer(text)] if hits else []
+                    rows.append((row, doc_id, n, [{"k": k, "start": spans[k][0], "stop": spans[k][1]} for k in hits], ids))
+            columns = list(zip(*rows, strict=True)) or [[]] * 5
+            at = pa.list_(pa.struct([("k", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
+            kinds = (pa.int64(), pa.int64(), pa.int64(), at, pa.list_(pa.string()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["row", "doc_id", "n_words", "at", "items"])
+
+    return scan
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
     """doc_id, n_words, hits (word positions), spans (code points), items (ids as strings) of each document."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
     chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
     shards = -(-chars // max_chars) or 1
-    passes = []
+    sent = []
     for k in range(shards):
         shard = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
-        sent = spark.sparkContext.broadcast([tuple(r) for r in shard.where("text is not null and item_id is not null").collect()])
-        passes.append(docs.select("doc_id", "text").mapInArrow(_scan(sent, window), SCHEMA))
+        sent.append(spark.sparkContext.broadcast([tuple(r) for r in shard.where("text is not null and item_id is not null").collect()]))
     if shards == 1:
-        return passes[0]
-    united = passes[0]
-    for more in passes[1:]:
-        united = united.unionByName(more)
-    whole = united.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), *(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))).alias(c) for c in ("hits", "spans", "items")))
-    return whole.select("doc_id", "n_words", "hits", "spans", "items")
+        return docs.select("doc_id", "text").mapInArrow(_scan(sent[0], window), SCHEMA)
+    # The number of a row is stored with it, so all passes see the same one.
+    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), work_folder(spark, "decontaminate"), "rows")
+    united = None
+    for k, own in enumerate(sent):
+        found = numbered.mapInArrow(_pass(own, window, k == 0), PASS)
+        united = found if united is None else united.unionByName(found)
+    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
+    whole = united.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), every("at").alias("at"), every("items").alias("items"))
+    # A run starts, or stops, at a word whose neighbour is not hit.
+    edge = lambda step: F.filter("at", lambda x, i: ~F.get("at", i + step)["k"].eqNullSafe(x["k"] + step))
+    spans = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop")))
+    return whole.select("doc_id", "n_words", F.col("at.k").alias("hits"), spans.alias("spans"), "items")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -66,3 +66,13 @@ def test_empty_tables(spark):
     docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert decontaminated(docs.limit(0), bench).collect() == []
     assert not any(r.contaminated for r in decontaminated(docs, bench.limit(0)).collect())
+
+
+def test_a_row_for_a_row_at_every_benchmark_size(spark):
+    rows, items = tables()
+    rows += [(None, rows[1][1]), (None, None), (None, rows[3][1] + " " + items[3][1]), (7, rows[1][1]), (7, "one"), (8, " ".join(t or "" for _, t in items))]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    one, several = (contamination(docs, bench, max_chars=most) for most in (10**6, 200))
+    assert several.columns == one.columns
+    assert sorted(map(str, several.collect())) == sorted(map(str, one.collect()))
+    assert several.count() == len(rows)
