@@ -114,6 +114,7 @@ class Array:
         offset = (0,) * self.spec.ndim if offset is None else tuple(offset)
         if not data.ndim == len(offset) == self.spec.ndim:
             raise GridError(f"data of rank {data.ndim} at {offset} in an array of rank {self.spec.ndim}")
+        checked_selection(self.spec.shape, offset, data.shape)
         data = data.astype(self.spec.numpy_dtype, copy=False)
         rows = []
         for coords in chunk_coords(self.spec.chunks, offset, data.shape):

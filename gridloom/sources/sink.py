@@ -1,6 +1,6 @@
 """Writing frames of cells or blocks into an array, one task per chunk.
 
-Cells are shuffled once, by chunk; a chunk is written by one task, so nothing is locked. A chunk whose cells are all
+Repeated cells are combined, then cells are shuffled by chunk; a chunk is written by one task, so nothing is locked. A chunk whose cells are all
 given replaces the stored one, any other is read, overlaid and written; one that holds only the fill value is deleted.
 A task that is run again writes the same bytes. Blocks are whole chunks and are not shuffled at all.
 """
@@ -8,6 +8,7 @@ A task that is run again writes the same bytes. Blocks are whole chunks and are
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import GridError
-from ..grid import chunk_of
+from ..grid import checked_selection, chunk_of
 from ..meta import ArraySpec
 from . import chunks as ch
 from .stores import Handle
@@ -50,29 +51,31 @@ def _finished(handle: Handle, done: DataFrame) -> tuple[int, int]:
 
 def write_cells(handle: Handle, spec: ArraySpec, cells: DataFrame, value: str = "value") -> tuple[int, int]:
     """Of rows with a column for each dimension and a value; of repeated cells the one with the largest value stays.
-    Null values become the fill value, rows with a null coordinate raise, and so do negative ones."""
+    Null values become the fill value. Rows with a coordinate that is null or outside the array raise, before any
+    chunk is written: that is checked ahead of a shuffle."""
     n = spec.ndim
-    own = cells.select(*(F.col(d).cast("long").alias(f"_x{k}") for k, d in enumerate(spec.dims)), F.col(value).cast(spec.spark_type).alias("_v"))
+    fill = F.lit(Decimal(int(spec.fill)) if spec.dtype == "uint64" else spec.fill.item()).cast(spec.spark_type)
+
+    def inside(k: int):
+        x = F.col(spec.dims[k]).cast("long")
+        error = F.raise_error(F.concat(F.lit(f"a cell outside the array of shape {tuple(spec.shape)}: {spec.dims[k]} = "), F.coalesce(x.cast("string"), F.lit("null"))))
+        return F.when((x >= 0) & (x < spec.shape[k]), x).otherwise(error.cast("long"))
+
+    own = cells.select(*(inside(k).alias(f"_x{k}") for k in range(n)), F.coalesce(F.col(value).cast(spec.spark_type), fill).alias("_v"))
+    own = own.groupBy(*(f"_x{k}" for k in range(n))).agg(F.max("_v").alias("_v")).where("_v is not null")
     own = own.select("*", *(chunk_of(F.col(f"_x{k}"), spec.chunks[k]).alias(f"_c{k}") for k in range(n)))
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         coords = tuple(k.as_py() for k in key)
-        if any(c is None or c < 0 for c in coords):
-            raise GridError(f"cells in chunk {coords}")
         at = [rows.column(f"_x{k}").to_numpy() - coords[k] * spec.chunks[k] for k in range(n)]
-        given = rows.column("_v").combine_chunks()
-        values = numpy_values(given.fill_null(spec.fill.item() if spec.dtype != "uint64" else int(spec.fill)) if given.null_count else given, spec)
+        values = numpy_values(rows.column("_v").combine_chunks(), spec)
         flat = np.ravel_multi_index(at, spec.chunks) if n else np.zeros(len(values), np.int64)
-        order = np.lexsort((values, flat))
-        flat, values = flat[order], values[order]
-        last = np.concatenate((flat[1:] != flat[:-1], [True]))
-        flat, values = flat[last], values[last]
         if len(flat) == spec.chunk_size:
-            chunk = values.reshape(spec.chunks)
+            chunk = np.empty(spec.chunks, spec.numpy_dtype)
         else:
             old = ch.read_chunk(handle, spec, coords)
-            chunk = np.full(spec.chunks, spec.fill, spec.numpy_dtype) if old is None else np.array(old)
-            chunk.reshape(-1)[flat] = values
+            chunk = np.full(spec.chunks, spec.fill, spec.numpy_dtype) if old is None else np.array(old, order="C")
+        chunk.reshape(-1)[flat] = values
         return pa.table(dict(zip(("key", "stored", "payload"), _row(handle, spec.chunk_key(coords), ch.encoded(spec, chunk)), strict=True)))
 
     if not n:
@@ -81,14 +84,15 @@ def write_cells(handle: Handle, spec: ArraySpec, cells: DataFrame, value: str =
 
 
 def write_blocks(handle: Handle, spec: ArraySpec, blocks: DataFrame) -> tuple[int, int]:
-    """Of rows with origin, block_shape and values (C order); a block lies within one chunk, and no two blocks of a
-    frame in the same one. Not shuffled."""
+    """Of rows with origin, block_shape and values (C order); a block lies within one chunk and the array, and no two
+    blocks of a frame in the same chunk; one that does not raises and is not written. Not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in range(batch.num_rows):
                 origin, shape = batch.column(0)[r].as_py(), tuple(batch.column(1)[r].as_py())
                 values = numpy_values(batch.column(2)[r].values, spec).reshape(shape)
+                checked_selection(spec.shape, origin, shape)
                 coords = tuple(o // c for o, c in zip(origin, spec.chunks, strict=True))
                 start = [o - x * c for o, x, c in zip(origin, coords, spec.chunks, strict=True)]
                 if any(a + s > c for a, s, c in zip(start, shape, spec.chunks, strict=True)):

@@ -9,6 +9,7 @@ from gridloom.errors import GridError, MissingNode
 from gridloom.meta import DTYPES, ArraySpec, SpecBuilder
 from gridloom.operators.array import Array
 from gridloom.operators.hierarchy import Group, nodes, open_node
+from gridloom.sources import sink
 from gridloom.sources.stores import MemoryStore
 
 
@@ -186,3 +187,28 @@ def test_command_line(tmp_path, capsys):
     Array.create(str(tmp_path), spec(shape=(2, 2), chunks=(2, 2))).write(np.arange(4, dtype="u4").reshape(2, 2))
     assert main(["--array_path", str(tmp_path)]) == 0 and "[2 3]" in capsys.readouterr().out
     assert main(["--array_path", str(tmp_path / "no")]) == 1
+
+
+@pytest.mark.parametrize("rows", [[(0, 0), (10, 0)], [(0, 0), (0, 12)], [(0, 0), (-1, 0)], [(0, 0), (None, 0)]])
+def test_cells_outside_raise_before_writing(spark, tmp_path, rows):
+    array = Array.create(str(tmp_path), spec("int32", (10, 10), (4, 4), fill_value=7))
+    with pytest.raises(Exception, match="outside the array"):
+        array.write_cells(spark.createDataFrame([(*r, 1) for r in rows], "d0 long, d1 long, value int"))
+    assert array.handle.list() == ["zarr.json"]
+
+
+def test_blocks_outside_raise_before_writing(spark, tmp_path):
+    array = Array.create(str(tmp_path), spec("int32", (10, 10), (4, 4), fill_value=7))
+    for s in (None, spark):
+        with pytest.raises(GridError):
+            array.write(np.ones((4, 4), "i4"), (8, 8), spark=s)
+    with pytest.raises(Exception, match="leave the array"):
+        array.write_blocks(spark.createDataFrame([([8, 8], [4, 4], [1] * 16)], "origin array<long>, block_shape array<int>, values array<int>"))
+    assert array.handle.list() == ["zarr.json"]
+
+
+def test_repeated_cells_are_combined_before_the_chunks(spark, tmp_path, monkeypatch):
+    array = Array.create(str(tmp_path), spec("int32", (8,), (4,), fill_value=7))
+    monkeypatch.setattr(sink, "numpy_values", lambda values, s, own=sink.numpy_values: own(values, s) if len(values) <= 4 else 1 / 0)
+    assert array.write_cells(spark.range(10000).selectExpr("id % 3 AS d0", "CASE WHEN id % 3 = 2 THEN NULL ELSE id END AS value")) == (1, 0)
+    assert array.read().tolist() == [9999, 9997, 7, 7, 7, 7, 7, 7]
