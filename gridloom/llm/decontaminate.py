@@ -1,12 +1,14 @@
 """Benchmark decontamination with one Aho-Corasick automaton over normalised test items.
 
-Texts become words (runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case) joined by
-single spaces. Every window of ``window`` consecutive words of an item is a pattern, a shorter item is one pattern;
-each document is scanned once, and matches are mapped back to its words and to code points of the original text.
+Texts become words (runs of ASCII letters and digits and of non-ASCII characters, A-Z in lower case), and the words of
+items become numbers of a few digits; words that no item has share one sign. Every window of ``window`` consecutive
+words of an item is a pattern, a shorter item is one pattern. The automaton runs once over the string that each
+document's words make, and matches are mapped back to its words and to code points of the original text.
 
-The automaton is made from the benchmark alone. Its size is measured first: up to ``max_chars`` of item text it is
-broadcast as a whole; a larger benchmark is cut into item shards under that bound, each broadcast for a pass of its
-own over the stored rows, and the passes' hits are united per row; so a row gives a row at every benchmark size.
+The automaton is made from the benchmark alone, in each task, and takes about 200 bytes a character of item text.
+``max_chars`` bounds it. A benchmark of any size takes one such step for each ``max_chars`` of
+its text: a step adds its hits and items to what the row has, so rows are neither grouped nor shuffled, and a row gives a
+row; between steps the rows are stored, so that one automaton is in memory at a time.
 
 Defined results: a null or wordless text has no words, no hits and no items; null or wordless items have no windows;
 rows that repeat an item_id add their windows to one item; rows that repeat a doc_id, or have none, give a row each;
@@ -15,114 +17,116 @@ empty tables give no rows or no hits; other columns are not read.
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, work_folder
+from .common import parts, stored, work_folder
 
 WINDOW = 10
-#: Characters of item text in one automaton; patterns take about ``WINDOW`` times as many bytes in each worker.
-MAX_CHARS = 8_000_000
+#: Characters of item text in one automaton.
+MAX_CHARS = 1_600_000
+#: Signs for a digit.
+BASE = 32
 
-#: The contract's word class, with A-Z, which ``normalised`` lower-cases.
+#: The contract's word class, with A-Z, which ``lowered`` turns into a-z.
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 
-#: A hit word (its position and its code points) and the items of a row in one pass.
-PASS = "row long, doc_id long, n_words long, at array<struct<k:int,start:int,stop:int>>, items array<string>"
+STATE = "doc_id long, text string, hits array<int>, items array<string>"
 SCHEMA = "doc_id long, n_words long, hits array<int>, spans array<struct<start:int,stop:int>>, items array<string>"
-
-
-def normalised(text: str | None) -> tuple[int, str]:
-    """Number of words, and the words in lower case (A-Z only), each after a space, with a last space."""
-    words = WORD.findall(text or "")
-    return len(words), f" {' '.join(words)} ".encode().lower().decode() if words else ""
-
-
-def automaton(items: list[tuple[str, str | None]], window: int = WINDOW):
-    """Over the windows of (item id, text) rows; a pattern's value is (number of words, item ids). None without windows."""
-    import ahocorasick
-
-    of: dict[str, set[str]] = defaultdict(set)
-    for item, text in items:
-        words = normalised(text)[1].split(" ")[1:-1]
-        for i in range(max(1, len(words) - window + 1) if words else 0):
-            of[f" {' '.join(words[i : i + window])} "].add(item)
-    if not of:
-        return None
-    found = ahocorasick.Automaton()
-    for pattern, ids in of.items():
-        found.add_word(pattern, (pattern.count(" ") - 1, tuple(sorted(ids))))
-    found.make_automaton()
-    return found
-
-
-def hit_words(found, n_words: int, joined: str) -> tuple[list[int], list[str]]:
-    """Positions of the words inside any occurrence of a pattern, and the items with an occurring pattern."""
-    matches = list(found.iter(joined)) if found is not None and n_words else []
-    if not matches:
-        return [], []
-    gaps = np.flatnonzero(np.frombuffer(joined.encode("utf-32-le"), np.uint32) == 32)  # gap i precedes word i
-    last = np.searchsorted(gaps, [stop for stop, _ in matches])
-    edge = np.zeros(n_words + 1, np.int64)
-    np.add.at(edge, last - [n for _, (n, _) in matches], 1)
-    np.add.at(edge, last, -1)
-    return np.flatnonzero(np.cumsum(edge)[:-1] > 0).tolist(), sorted({i for _, (_, ids) in matches for i in ids})
-
-
-def spans_of(text: str, hits: list[int]) -> list[dict[str, int]]:
+_SPAN = pa.struct([("start", pa.int32()), ("stop", pa.int32())])
+
+
+def lowered(text: str | None) -> str:
+    """A-Z in lower case; every code point stays where it is."""
+    return (text or "").encode().lower().decode()
+
+
+class Numbers(dict):
+    """Digits for each of some words, as many for each, and one sign for all others.
+
+    The library goes through a node's branches one by one, so digits are of a small base; each place has signs of its
+    own, so a match can't start or end within a word."""
+
+    def __init__(self, words: Iterable[str]):
+        super().__init__()
+        words = sorted(set(words))
+        self.width = next(d for d in itertools.count(1) if BASE**d >= len(words))
+        for i, word in enumerate(words):
+            self[word] = "".join(chr(1 + place * BASE + i // BASE**place % BASE) for place in range(self.width))
+
+    def __missing__(self, word: str) -> str:
+        return "\0"
+
+
+class Items:
+    """The automaton over the windows of (item id, text) rows; a pattern's value is (number of words, item ids)."""
+
+    def __init__(self, items: list[tuple[str, str | None]], window: int = WINDOW):
+        import ahocorasick
+
+        cut = [(item, WORD.findall(lowered(text))) for item, text in items]
+        self.numbers = Numbers(w for _, words in cut for w in words)
+        of: dict[str, set[str]] = defaultdict(set)
+        for item, words in cut:
+            words = [self.numbers[w] for w in words]
+            for i in range(max(1, len(words) - window + 1) if words else 0):
+                of["".join(words[i : i + window])].add(item)
+        self.found = ahocorasick.Automaton() if of else None
+        for pattern, ids in of.items():
+            self.found.add_word(pattern, (len(pattern) // self.numbers.width, tuple(sorted(ids))))
+        if of:
+            self.found.make_automaton()
+
+    def hits(self, words: list[str]) -> tuple[set[int], set[str]]:
+        """Positions of the words inside any occurrence of a pattern, and the items with an occurring pattern."""
+        at: set[int] = set()
+        items: set[str] = set()
+        if self.found is not None and words:
+            own = list(map(self.numbers.__getitem__, words))
+            if matches := list(self.found.iter("".join(own))):
+                stops = np.cumsum(list(map(len, own)))
+                last = np.searchsorted(stops, [stop for stop, _ in matches], "right").tolist()
+                for k, (_, (n, ids)) in zip(last, matches, strict=True):
+                    at.update(range(k - n + 1, k + 1))
+                    items.update(ids)
+        return at, items
+
+
+def spans_of(lower: str, hits: list[int]) -> list[dict[str, int]]:
     """Maximal runs of hit words as code points of the original text, end exclusive."""
     if not hits:
         return []
-    at = [m.span() for m in WORD.finditer(text)]
+    at = [m.span() for m in WORD.finditer(lower)]
     runs = np.split(np.asarray(hits), np.flatnonzero(np.diff(hits) > 1) + 1)
     return [{"start": at[r[0]][0], "stop": at[r[-1]][1]} for r in runs]
 
 
-def _scan(items, window: int):
-    built: list = []
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(automaton(items.value, window))
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n, joined = normalised(text)
-                hits, ids = hit_words(built[0], n, joined)
-                rows.append((doc_id, n, hits, spans_of(text, hits), ids))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int32()), span, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["doc_id", "n_words", "hits", "spans", "items"])
-
-    return scan
-
-
-def _pass(items, window: int, first: bool):
-    """Of row, doc_id, text: ``PASS`` of all rows in the first pass, of rows with hits in the others."""
-    built: list = []
+def _scan(items, window: int, last: bool):
+    """A step: ``STATE`` to ``STATE``, or to ``SCHEMA`` where it is the last."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if not built:
-            built.append(automaton(items.value, window))
-        for batch in batches:
+        own = None
+        for part in parts(batches, 512):
+            own = own or Items(items.value, window)
             rows = []
-            for row, doc_id, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                n, joined = normalised(text)
-                hits, ids = hit_words(built[0], n, joined)
-                if hits or first:
-                    spans = [m.span() for m in WORD.finditer(text)] if hits else []
-                    rows.append((row, doc_id, n, [{"k": k, "start": spans[k][0], "stop": spans[k][1]} for k in hits], ids))
-            columns = list(zip(*rows, strict=True)) or [[]] * 5
-            at = pa.list_(pa.struct([("k", pa.int32()), ("start", pa.int32()), ("stop", pa.int32())]))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), at, pa.list_(pa.string()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["row", "doc_id", "n_words", "at", "items"])
+            for doc_id, text, before, met in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                lower = lowered(text)
+                words = WORD.findall(lower)
+                at, ids = own.hits(words)
+                hits, ids = sorted(at.union(before)), sorted(ids.union(met))
+                rows.append((doc_id, len(words), hits, spans_of(lower, hits), ids) if last else (doc_id, text, hits, ids))
+            kinds = {"doc_id": pa.int64(), "n_words": pa.int64(), "hits": pa.list_(pa.int32()), "spans": pa.list_(_SPAN), "items": pa.list_(pa.string())}
+            if not last:
+                kinds = {"doc_id": pa.int64(), "text": pa.string(), "hits": pa.list_(pa.int32()), "items": pa.list_(pa.string())}
+            columns = zip(*rows, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values(), strict=True)], list(kinds))
 
     return scan
 
@@ -130,31 +134,24 @@ def _pass(items, window: int, first: bool):
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, max_chars: int = MAX_CHARS) -> DataFrame:
     """doc_id, n_words, hits (word positions), spans (code points), items (ids as strings) of each document."""
     spark = docs.sparkSession
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text"))
-    chars = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    shards = -(-chars // max_chars) or 1
-    sent = []
-    for k in range(shards):
-        shard = items if shards == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(shards)) == k)
-        sent.append(spark.sparkContext.broadcast([tuple(r) for r in shard.where("text is not null and item_id is not null").collect()]))
-    if shards == 1:
-        return docs.select("doc_id", "text").mapInArrow(_scan(sent[0], window), SCHEMA)
-    # The number of a row is stored with it, so all passes see the same one.
-    numbered = stored(docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), work_folder(spark, "decontaminate"), "rows")
-    united = None
-    for k, own in enumerate(sent):
-        found = numbered.mapInArrow(_pass(own, window, k == 0), PASS)
-        united = found if united is None else united.unionByName(found)
-    every = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    whole = united.groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"), every("at").alias("at"), every("items").alias("items"))
-    # A run starts, or stops, at a word whose neighbour is not hit.
-    edge = lambda step: F.filter("at", lambda x, i: ~F.get("at", i + step)["k"].eqNullSafe(x["k"] + step))
-    spans = F.zip_with(edge(-1), edge(1), lambda a, b: F.struct(a["start"].alias("start"), b["stop"].alias("stop")))
-    return whole.select("doc_id", "n_words", F.col("at.k").alias("hits"), spans.alias("spans"), "items")
+    folder = work_folder(spark, "decontaminate")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").alias("text")).where("text is not null and item_id is not null")
+    steps = -(-(items.agg(F.sum(F.length("text"))).first()[0] or 0) // max_chars) or 1
+    none = (F.array().cast("array<int>").alias("hits"), F.array().cast("array<string>").alias("items"))
+    state = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *none)
+    for k in range(steps):
+        own = items if steps == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(steps)) == k)
+        sent = spark.sparkContext.broadcast([tuple(r) for r in own.collect()])  # at most about max_chars of text
+        last = k + 1 == steps
+        state = state.mapInArrow(_scan(sent, window, last), SCHEMA if last else STATE)
+        state = state if last else stored(state, folder, str(k))
+    return state
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The digest of ``contamination``: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
     found = contamination(docs, benchmark)
     n_hit = F.size("hits").cast("long")
-    return found.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+    items = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    counts = (n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"))
+    return found.select("doc_id", "n_words", *counts, items.alias("items_sha256"), (n_hit > 0).alias("contaminated"))
