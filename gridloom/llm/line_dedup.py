@@ -8,12 +8,14 @@ A line's key is the line stripped of ASCII white space at both ends, A-Z in lowe
 * filters: shard, filter; a cuckoo filter for each range of hashes, of those that ``MIN_DOCS`` documents hold.
 
 Inserting documents adds postings, deleting documents takes theirs away; counts follow exactly, and hashes that cross
-the limit enter or leave their shard's filter. After a deletion the index answers as if the documents had never been
-there. Applying it passes every line through the filters; the lines that get through are counted by their whole key,
-so neither a filter's errors nor equal hashes change the result.
+the limit enter or leave their shard's filter. A filter that would get too full is made anew from the counts, larger;
+when the filters have grown to twice their size on average, there are more shards. After a deletion the index answers as
+if the documents had never been there. Applying it passes every line through the filters; the lines that get through
+are counted by their whole key, so neither a filter's errors nor equal hashes change the result.
 
-Filters are broadcast while they take at most ``FILTER_BYTES``; where they would take more, every line counts as
-one that gets through, and only the shuffle grows. A line that very many documents share is pre-counted in each task.
+Filters are broadcast while they take at most ``FILTER_BYTES``; where they take more, the hashes go to them, each
+once, dealt by shard, and the lines are joined to those that get through. A line that very many documents share is
+pre-counted in each task, and its rows are dealt to many tasks in each join.
 
 Defined results: a null or empty text is one empty line; a document is a doc_id, so rows that repeat one count once;
 a row with a null doc_id is in no count and keeps its lines; an empty table gives no rows; other columns are not read.
@@ -21,6 +23,7 @@ a row with a null doc_id is in no count and keeps its lines; an empty table give
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, bounded_set, stored, with_membership, work_folder
+from .common import ascii_lower, bounded_set, hot_keys, parts, split_join, stored, with_membership, work_folder
 from .cuckoo import CuckooFilter
 
 MIN_CHARS, MIN_DOCS = 20, 3
@@ -61,18 +64,18 @@ def _postings(docs: DataFrame) -> DataFrame:
 
 
 def _changed(group: tuple, filters: pa.Table, changes: pa.Table) -> pa.Table:
-    """A shard's filter after the hashes that enter (up) or leave it."""
-    shard = group[0].as_py()
+    """A shard's filter after the hashes that enter (up) or leave it; a new one where there was none."""
     h, up = changes.column("h").to_numpy(), changes.column("up").to_numpy(zero_copy_only=False)
-    own = CuckooFilter.from_bytes(filters.column("filter")[0].as_py()) if filters.num_rows else CuckooFilter(max(SHARD // 16, int(up.sum())))
-    if len(h):
-        own.delete(h[~up])
-        own.insert(h[up])
-    return pa.table({"shard": pa.array([shard], pa.int32()), "filter": pa.array([own.to_bytes()], pa.binary())})
+    own = CuckooFilter.from_bytes(filters.column("filter")[0].as_py()) if filters.num_rows else CuckooFilter(max(SHARD // 16, 2 * int(up.sum())))
+    own.delete(h[~up])
+    own.insert(h[up])
+    kinds = {"shard": pa.int32(), "room": pa.int64(), "filter": pa.binary()}
+    return pa.table({c: pa.array([v], kinds[c]) for c, v in zip(kinds, (group[0].as_py(), own.capacity, own.to_bytes()), strict=True)})
 
 
-def _rising(h: Column, shards: int) -> Column:
-    return F.pmod(h, F.lit(shards)).cast("int")
+def _shard(h: Column, shards: int) -> Column:
+    """From the high bits of a hash; a filter takes its buckets from the low ones."""
+    return (F.shiftrightunsigned(h, 33) % shards).cast("int")
 
 
 @dataclass(frozen=True)
@@ -90,9 +93,7 @@ class LineIndex:
         postings = stored(_postings(docs), folder, "postings-0")
         counts = stored(postings.groupBy("h").agg(F.count("*").alias("n")), folder, "counts-0")
         shards = -(-counts.where(F.col("n") >= MIN_DOCS).count() // SHARD) or 1
-        none = docs.sparkSession.createDataFrame([], "shard int, filter binary")
-        changes = counts.where(F.col("n") >= MIN_DOCS).select(_rising(F.col("h"), shards).alias("shard"), "h", F.lit(True).alias("up"))
-        return LineIndex(folder, 0, shards, postings, counts, _filtered(none, changes, folder, "filters-0"))
+        return LineIndex(folder, 0, shards, postings, counts, _filters(counts, shards, folder, "filters-0"))
 
     def insert(self, docs: DataFrame) -> LineIndex:
         """The index with more documents; documents it already holds stay as they are."""
@@ -109,17 +110,36 @@ class LineIndex:
         step = change.groupBy("h").agg((F.count("*") * sign).alias("step"))
         both = self.counts.join(step, "h", "full").select("h", F.coalesce("n", F.lit(0)).alias("was"), (F.coalesce("n", F.lit(0)) + F.coalesce("step", F.lit(0))).alias("n"))
         both = stored(both, folder, f"steps-{v}")
+        counts = both.where("n > 0").select("h", "n")
+        shards, filters = self._grown(both, f"filters-{v}")
+        return LineIndex(folder, v, shards, stored(postings, folder, f"postings-{v}"), counts, filters)
+
+    def _grown(self, both: DataFrame, name: str) -> tuple[int, DataFrame]:
+        """Number of shards and filters after a change; ``both``: h, was, n."""
+        members = both.where(F.col("n") >= MIN_DOCS)
+        held = members.count()
+        if held > 2 * self.shards * SHARD:
+            shards = -(-held // SHARD)
+            return shards, _filters(members, shards, self.folder, name)
+        own = _shard(F.col("h"), self.shards).alias("shard")
+        sizes = members.groupBy(own).agg(F.count("*").alias("n"))
+        # A row for each shard: those without a filter, or with too small a one, get a new one from the counts.
+        small = stored(sizes.join(self.filters, "shard", "left").where("room is null or n > room").select("shard"), self.folder, f"{name}-small")
+        whole = members.select(own, "h", F.lit(True).alias("up")).join(small, "shard", "left_semi")
         crossing = both.where((F.col("was") >= MIN_DOCS) != (F.col("n") >= MIN_DOCS))
-        changes = crossing.select(_rising(F.col("h"), self.shards).alias("shard"), "h", (F.col("n") >= MIN_DOCS).alias("up"))
-        return LineIndex(folder, v, self.shards, stored(postings, folder, f"postings-{v}"), both.where("n > 0").select("h", "n"), _filtered(self.filters, changes, folder, f"filters-{v}"))
+        steps = crossing.select(own, "h", (F.col("n") >= MIN_DOCS).alias("up")).join(small, "shard", "left_anti")
+        return self.shards, _applied(self.filters.join(small, "shard", "left_anti"), whole.unionByName(steps), self.folder, name)
 
     def _passed(self, docs: DataFrame) -> DataFrame:
         """key, doc_id of the lines that get through the filters."""
         size = self.filters.agg(F.sum(F.length("filter"))).first()[0] or 0
         by_doc = docs.where("doc_id is not null").select("doc_id", keys(F.col("text")).alias("keys"))
-        if size > FILTER_BYTES:
-            return by_doc.select(F.explode("keys").alias("key"), "doc_id")
-        sent = docs.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.collect()})
+        hashed = by_doc.select("doc_id", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("h"))
+        return self._passed_here(hashed) if size <= FILTER_BYTES else self._passed_there(hashed)
+
+    def _passed_here(self, hashed: DataFrame) -> DataFrame:
+        """With all filters sent to every task."""
+        sent = hashed.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["filter"]) for r in self.filters.select("shard", "filter").collect()})
         shards = self.shards
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,48 +147,77 @@ class LineIndex:
             for batch in batches:
                 names, at = batch.column(1).flatten(), batch.column(1).value_parent_indices()
                 h = batch.column(2).flatten().to_numpy()
+                shard = (h.view(np.uint64) >> np.uint64(33)).astype(np.int64) % shards
                 good = np.zeros(len(h), bool)
-                for k, own in filters.items():
-                    mine = np.flatnonzero(h % shards == k)
-                    good[mine] = own.contains(h[mine])
+                order = np.argsort(shard, kind="stable")
+                for mine in np.split(order, np.flatnonzero(np.diff(shard[order])) + 1):
+                    if len(mine) and (own := filters.get(int(shard[mine[0]]))):
+                        good[mine] = own.contains(h[mine])
                 keep = pa.array(good)
                 yield pa.RecordBatch.from_arrays([names.filter(keep), batch.column(0).take(at.filter(keep))], ["key", "doc_id"])
 
-        hashed = by_doc.select("doc_id", "keys", F.transform("keys", lambda k: F.xxhash64(k)).alias("h"))
         return hashed.mapInArrow(run, "key string, doc_id long")
 
+    def _passed_there(self, hashed: DataFrame) -> DataFrame:
+        """With each hash dealt to its shard's filter, once however many lines have it, and the lines joined to what gets
+        through."""
+        hashes = self.counts.select(_shard(F.col("h"), self.shards).alias("shard"), "h")
+        through = stored(self.filters.groupBy("shard").cogroup(hashes.groupBy("shard")).applyInArrow(_contained, "h long"), self.folder, _new("through"))
+        pairs = hashed.select("doc_id", F.explode(F.arrays_zip("keys", "h")).alias("x"))
+        lines = pairs.select(F.col("x.keys").alias("key"), "doc_id", F.col("x.h").alias("h"))
+        return split_join(lines, through, ["h"], "doc_id", hot_keys(self.counts, "h"), "left_semi").select("key", "doc_id")
+
     def dropped(self, docs: DataFrame) -> DataFrame:
         """doc_id, keys (the keys whose lines go) of those documents that lose lines. ``docs``: all that are indexed."""
-        passed = stored(self._passed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), self.folder, f"passed-{work_folder(docs.sparkSession, 'x')[-8:]}")
-        held = passed.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last"))
-        gone = passed.join(held.where(F.col("n") >= MIN_DOCS), "key").where("doc_id <> last")
+        passed = stored(self._passed(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")), self.folder, _new("passed"))
+        held = passed.groupBy("key").agg(F.count_distinct("doc_id").alias("n"), F.max("doc_id").alias("last")).where(F.col("n") >= MIN_DOCS)
+        h = F.xxhash64("key")
+        gone = split_join(passed.withColumn("h", h), held.withColumn("h", h), ["key", "h"], "doc_id", hot_keys(self.counts, "h")).where("doc_id <> last")
         return gone.groupBy("doc_id").agg(F.collect_set("key").alias("keys"))
 
 
-def _filtered(filters: DataFrame, changes: DataFrame, folder: str, name: str) -> DataFrame:
-    made = filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_changed, "shard int, filter binary")
+def _new(name: str) -> str:
+    """A name that no other run uses in the index's folder."""
+    return f"{name}-{uuid.uuid4().hex[:8]}"
+
+
+def _contained(filters: pa.Table, hashes: pa.Table) -> pa.Table:
+    """A shard's hashes that its filter lets through."""
+    h = hashes.column("h")
+    good = CuckooFilter.from_bytes(filters.column("filter")[0].as_py()).contains(h.to_numpy()) if filters.num_rows else [False] * len(h)
+    return pa.table({"h": h.filter(pa.array(good, pa.bool_()))})
+
+
+def _filters(counts: DataFrame, shards: int, folder: str, name: str) -> DataFrame:
+    """New filters from the counts."""
+    none = counts.sparkSession.createDataFrame([], "shard int, room long, filter binary")
+    entering = counts.where(F.col("n") >= MIN_DOCS).select(_shard(F.col("h"), shards).alias("shard"), "h", F.lit(True).alias("up"))
+    return _applied(none, entering, folder, name)
+
+
+def _applied(filters: DataFrame, changes: DataFrame, folder: str, name: str) -> DataFrame:
+    made = filters.groupBy("shard").cogroup(changes.groupBy("shard")).applyInArrow(_changed, "shard int, room long, filter binary")
     return stored(made, folder, name)
 
 
 def _without(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows: tuple[list, list, list] = ([], [], [])
-        for text, gone in zip(batch.column(1), batch.column(2), strict=True):
+    for part in parts(batches, 1024):
+        rows = []
+        for text, gone in zip(part.column(1), part.column(2), strict=True):
             every = (text.as_py() or "").split("\n")
             gone = set(gone.as_py() or ())
             kept = [x for x in every if key_of(x) not in gone] if gone else every
-            for column, x in zip(rows, (len(every), len(every) - len(kept), "\n".join(kept)), strict=True):
-                column.append(x)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.string())], ["doc_id", "n_lines", "n_dropped", "kept"])
+            rows.append((len(every), len(every) - len(kept), "\n".join(kept)))
+        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string()), strict=True)]
+        yield pa.RecordBatch.from_arrays([part.column(0), *columns], ["doc_id", "n_lines", "n_dropped", "kept"])
 
 
 def without_repeated_lines(docs: DataFrame, index: LineIndex | None = None) -> DataFrame:
     """doc_id, n_lines, n_dropped, kept (text) of each row. Only documents that lose lines are shuffled."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     index = index or LineIndex.create(docs)
-    name = work_folder(docs.sparkSession, "x")[-8:]
-    gone = stored(index.dropped(docs), index.folder, f"dropped-{name}")
-    told = with_membership(docs, "doc_id", bounded_set(gone, "doc_id", index.folder, f"losing-{name}"), "losing")
+    gone = stored(index.dropped(docs), index.folder, _new("dropped"))
+    told = with_membership(docs, "doc_id", bounded_set(gone, "doc_id", index.folder, _new("losing")), "losing")
     some = told.where("losing").select("doc_id", "text").join(gone, "doc_id", "left").select("doc_id", "text", "keys")
     rest = told.where("not losing").select("doc_id", "text", F.lit(None).cast("array<string>").alias("keys"))
     schema = "doc_id long, n_lines long, n_dropped long, kept string"

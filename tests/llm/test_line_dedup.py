@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 
 from gridloom.llm import line_dedup as ld
 from gridloom.llm.cuckoo import CuckooFilter
@@ -76,5 +77,34 @@ def test_cuckoo_filter():
     assert not tiny.stash and not tiny.table.any()
 
 
+@pytest.mark.parametrize("shards", [1, 3, 8, 64])
+def test_stash_stays_small_in_every_shard(shards):
+    """Of hashes that are dealt to shards by their high bits, at 90 % of the slots."""
+    h = np.random.default_rng(shards).integers(-(2**63), 2**63 - 1, 40_000 * shards)
+    mine = h[(h.view(np.uint64) >> np.uint64(33)).astype(np.int64) % shards == shards - 1][: int((1 << 13) * 4 * 0.9)]
+    own = CuckooFilter(len(mine))
+    own.insert(mine)
+    assert len(own.table) == 1 << 13 and own.contains(mine).all() and len(own.stash) < len(mine) / 100
+
+
+def test_filters_grow_with_the_index(spark, monkeypatch):
+    """Ten times as many lines in several steps: no filter gets fuller than it may, and there are more shards."""
+    monkeypatch.setattr(ld, "SHARD", 64)
+    rows = lambda a, b: [(d, "\n".join(f"repeated line with the number {i}" for i in range(a, b))) for d in range(3 * a, 3 * a + 3)]
+    index = ld.LineIndex.create(frame(spark, rows(0, 100)))
+    every, seen = rows(0, 100), [index.shards]
+    for at in (100, 150, 400):
+        every += rows(at, at * 2 + 200)
+        index = index.insert(frame(spark, rows(at, at * 2 + 200)))
+        held = {r.shard: r for r in index.filters.collect()}
+        filters = {k: CuckooFilter.from_bytes(bytes(r.filter)) for k, r in held.items()}
+        assert sum(len(f.stash) for f in filters.values()) <= 2 and all(r.room == filters[k].capacity for k, r in held.items())
+        for r in index.counts.where(f"n >= {ld.MIN_DOCS}").collect():
+            assert filters[((r.h & 2**64 - 1) >> 33) % index.shards].contains([r.h]).all()
+        seen.append(index.shards)
+    assert seen == sorted(seen) and seen[-1] > seen[0]
+    assert sorted(map(tuple, ld.without_repeated_lines(frame(spark, every), index).collect()), key=str) == brute(every)
+
+
 def test_empty_table(spark):
     assert ld.line_dedup(frame(spark, [])).collect() == []
