@@ -4,17 +4,18 @@ import re
 import numpy as np
 import pytest
 
+from gridloom.llm import common
 from gridloom.llm import near_dedup as nd
 from gridloom.llm.components import components
 
 
-def brute(rows):
+def brute(rows, size=3, percent=85):
     """doc_id -> (n_shingles, component) by comparing all pairs."""
     sets, root = {}, {}
     for i, text in rows:
         low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
         words = [w for w in re.split(r"[\x20\x09-\x0D]+", low) if w]
-        sets[i] = {tuple(words[k : k + 3]) for k in range(max(1, len(words) - 2))} if words else set()
+        sets[i] = {tuple(words[k : k + size]) for k in range(max(1, len(words) - size + 1))} if words else set()
         root[i] = i
 
     def find(i):
@@ -26,7 +27,7 @@ def brute(rows):
     for x, i in enumerate(ids):
         for j in ids[x + 1 :]:
             both = len(sets[i] & sets[j])
-            if both and 100 * both >= 85 * len(sets[i] | sets[j]):
+            if both and 100 * both >= percent * len(sets[i] | sets[j]):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return {i: (len(sets[i]), find(i)) for i in ids}
@@ -61,12 +62,20 @@ def corpus(seed=3, groups=25, size=6):
 def test_same_as_all_pairs(spark, monkeypatch, small, block):
     monkeypatch.setattr(nd, "SMALL_KEY", small)
     monkeypatch.setattr(nd, "BLOCK", block)
+    monkeypatch.setattr(common, "HOT_KEYS", 8 if small == 2 else common.HOT_KEYS)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], "doc_id long, text string, component string, id int")
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_dedup(docs).collect()}
     assert got == brute(rows)
 
 
+def test_other_shingles_and_similarity(spark):
+    rows = corpus(seed=8)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_dedup(docs, 5, 80).collect()}
+    assert got == brute(rows, 5, 80) != brute(rows)
+
+
 def test_radius_is_guaranteed():
     rng = np.random.default_rng(0)
     for _ in range(200):
