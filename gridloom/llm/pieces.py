@@ -8,11 +8,13 @@ it is compatible with the one before it, that is, if merging the two pieces' tex
 positions from which no way led to the end are kept in a bitfield and not tried twice. Compatibility of all
 neighbours makes the result the one that the merges would give.
 
-Units and pairs already seen are kept in bounded caches in each Python worker. Documents are encoded whole, one at a
-time, so memory is bounded by the longest one.
+Short units and pairs already seen are kept in bounded caches that live as long as a partition is worked on; nothing
+outlives it in the Python worker, which Spark uses again for other jobs. Documents are encoded whole, one at a time, so
+memory is bounded by the longest one.
 
 Defined results: null and empty texts have no ids and decode to the empty text; ties between equal merges go to the
-leftmost, as in the library; every row gives a row; other columns are not read.
+leftmost, as in the library; every row gives a row, also where its doc_id is null or repeated; an empty table gives no
+rows; other columns are not read. A model whose normaliser changes texts is refused.
 """
 
 from __future__ import annotations
@@ -21,14 +23,20 @@ import hashlib
 import re
 from array import array
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import give_back, parts
+
 SPACE_MARK = "▁"
-#: Units kept in each of a cache's two generations.
-CACHED = 150_000
+#: Units kept in each of a cache's two generations, and the characters of the longest that is kept (longer ones are
+#: hardly met again): about 15 MB a generation.
+CACHED, CACHED_CHARS = 70_000, 16
+#: Pairs of pieces kept in each generation.
+CACHED_PAIRS = 100_000
 
 #: A run of marks with letters, a run of marks with other characters, or marks alone.
 UNIT_BY_CLASS = re.compile("▁*(?:[^\\W\\d_]+|(?:(?!▁)[\\W\\d_])+)|▁+")
@@ -65,6 +73,7 @@ class PieceCodec:
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        self._check(model)
         n = model.get_piece_size()
         pieces = [model.id_to_piece(i) for i in range(n)]
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
@@ -85,9 +94,16 @@ class PieceCodec:
         self.unit = UNIT_BY_CLASS if all(letters.match(p) for p in inner) else UNIT_BY_SPACE
         if any(SPACE_MARK in p for p in inner):
             raise ValueError("a piece holds a space mark after another character; units can't be cut at spaces")
-        self.pairs = Cache(self._compatible, 200_000)
+        self.pairs = Cache(self._compatible, CACHED_PAIRS)
         self.units = Cache(self._kept, CACHED)
 
+    @staticmethod
+    def _check(model) -> None:
+        """Spaces and characters that other normalisers change must come back as they are."""
+        for text in ("  a  b ", "ﬁ Ⅷ ｱ e\u0301 \u200b\u00a0\ttab"):
+            if model.decode(model.encode(text)) != text:
+                raise ValueError("the model's normaliser changes texts")
+
     def _compatible(self, key: int) -> bool:
         """Of the piece before (-1: none) and the next one."""
         before, i = key >> 32, key & 0xFFFFFFFF
@@ -154,8 +170,14 @@ class PieceCodec:
     def _parts(self, text: str | None) -> list[tuple[str, bytes]]:
         if not text:
             return []
-        units = self.units
-        return [units[u] for u in self.unit.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))]
+        units, kept = self.units, self._kept
+        return [units[u] if len(u) <= CACHED_CHARS else kept(u) for u in self.unit.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))]
+
+    def forget(self) -> None:
+        """Empties the caches, which refer back to this codec, so that its memory is free at once."""
+        for cache in (self.units, self.pairs):
+            cache.clear()
+            cache.old, cache.make = {}, None
 
     def encode(self, text: str | None) -> np.ndarray:
         return np.frombuffer(b"".join([x[1] for x in self._parts(text)]), np.uint32)
@@ -172,26 +194,30 @@ class PieceCodec:
         return text[1:] if text.startswith(" ") else text
 
 
-_codecs: dict[str, PieceCodec] = {}
-
-
-def codec(model_file: str) -> PieceCodec:
-    """The codec of this process."""
-    if model_file not in _codecs:
-        _codecs[model_file] = PieceCodec(model_file)
-    return _codecs[model_file]
+@contextmanager
+def codec(model_file: str) -> Iterator[PieceCodec]:
+    """A codec for one partition."""
+    own = PieceCodec(model_file)
+    try:
+        yield own
+    finally:
+        own.forget()
+        give_back()
 
 
 def encoded(docs: DataFrame, model_file: str) -> DataFrame:
     """doc_id, ids (array of int), decoded (text) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+        with codec(model_file) as own:
+            for part in parts(batches, 256):
                 ids = [own.encode(t.as_py()) for t in part.column(1)]
-                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())), pa.array([own.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                columns = [
+                    part.column(0).cast(pa.int64()),
+                    pa.array([x.astype(np.int32) for x in ids], pa.list_(pa.int32())),
+                    pa.array([own.decode(x) for x in ids], pa.string()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "ids", "decoded"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
@@ -199,14 +225,15 @@ def encoded(docs: DataFrame, model_file: str) -> DataFrame:
 def round_trip(docs: DataFrame, model_file: str) -> DataFrame:
     """The digest of ``encoded``: doc_id, n_tokens, ids_sha256, decoded_sha256."""
 
+    def digests(own: PieceCodec, text: str | None) -> tuple[int, str, str]:
+        ids, listed = own.encode_listed(text)
+        return len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(model_file)
-        for batch in batches:
-            rows: tuple[list, list, list] = ([], [], [])
-            for text in batch.column(1):
-                ids, listed = own.encode_listed(text.as_py())
-                for column, x in zip(rows, (len(ids), hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(own.decode(ids).encode()).hexdigest()), strict=True):
-                    column.append(x)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.string()), pa.array(rows[2], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        with codec(model_file) as own:
+            for part in parts(batches, 1024):
+                columns = list(zip(*(digests(own, t.as_py()) for t in part.column(1)), strict=True)) or [(), (), ()]
+                arrays = [pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0).cast(pa.int64()), *arrays], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

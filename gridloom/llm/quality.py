@@ -27,6 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import parts
 from .pieces import Cache
 
 BUCKETS = 1 << 18
@@ -36,7 +37,7 @@ MAX_LABELLED = 12_000
 LEAST_DOCS = 5
 EPOCHS, BATCH, RATE, L1 = 14, 128, 0.3, 1.2e-3
 KEEP_FROM, KEEP_AT = 2, 0.4
-CACHED = 100_000
+CACHED = 60_000
 WORD = re.compile(r"\w+")
 GRADES = 3
 
@@ -167,7 +168,7 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = sent.value
         cache = _cache(own)
-        for batch in batches:
+        for batch in parts(batches, 2048):
             score = _scores(own, cache, batch.column(1))
             low, good = own.tails(score)
             kept = (low, good)[KEEP_FROM - 1] >= KEEP_AT
@@ -183,7 +184,7 @@ def selected(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = sent.value
         cache = _cache(own)
-        for batch in batches:
+        for batch in parts(batches, 2048):
             tails = own.tails(_scores(own, cache, batch.column("text")))
             yield batch.filter(pa.array(tails[KEEP_FROM - 1] >= KEEP_AT))
 
