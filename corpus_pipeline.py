@@ -4,7 +4,8 @@ Each stage takes (spark, docs, sf_dir), works on all rows of ``docs`` and return
 Parquet table in the shared folder and reads it again as the next stage's ``docs``. All stages but the last return the
 columns of ``documents``; the last one returns doc_id, n_tokens, ids_sha256 and decoded_sha256 of what is left.
 
-A row with a null doc_id passes the dedup and decontamination stages; rows that repeat a doc_id stay or go together.
+A row with a null doc_id passes the dedup and decontamination stages; rows that repeat a doc_id stay or go together there,
+whatever their texts. A null text is scored, and encoded, as an empty one. An empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,8 +32,8 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of linked documents, the one with the smallest doc_id."""
-    return without_ids(docs, near_dedup(docs).where("not kept"), work_folder(spark, "pipeline"), "near")
+    """Of linked documents, the one with the smallest doc_id. Documents link at five-word shingles and 0.8."""
+    return without_ids(docs, near_dedup(docs, size=5, percent=80).where("not kept"), work_folder(spark, "pipeline"), "near")
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
