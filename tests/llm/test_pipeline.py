@@ -6,6 +6,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from gridloom.llm import quality as q
@@ -32,7 +33,7 @@ def test_same_as_brute_force(spark):
     docs = [(i, t) for i, t in docs if model.tails(score(t))[q.KEEP_FROM - 1] >= q.KEEP_AT]
     first = {}
     docs = [(i, t) for i, t in docs if first.setdefault(re.sub(r"[\x20\x09-\x0D]+", " ", t or ""), i) == i]
-    near = near_brute(docs)
+    near = near_brute(docs, 5, 80)
     docs = [(i, t) for i, t in docs if near[i][1] == i]
     items = set()
     for r in read("benchmark").collect():
@@ -52,9 +53,17 @@ def test_stages_keep_columns_and_take_odd_rows(spark):
     long = "The river carries the boats and the boats carry the grain to the far town by the sea. " * 3
     rows = [(1, long, "word", 1.0), (2, long, None, 2.0), (3, None, "x", None), (4, "", "y", 0.0), (None, long, "z", 0.0), (5, long + "indeed", "w", 0.0), (5, long + "indeed", "w", 0.0)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, word string, keys double")
-    for _, stage in corpus_pipeline.STAGES[1:4]:
+    docs = docs.withColumn("__word", docs.keys).withColumn("maybe", docs.keys).withColumn("hits", docs.keys)
+    for _, stage in corpus_pipeline.STAGES[:4]:
         for df in (docs, docs.limit(0)):
             out = stage(spark, df, DATA)
             assert out.columns == docs.columns
+            out.collect()
+    assert corpus_pipeline.quality_stage(spark, docs, DATA).count() <= len(rows)
+    last = corpus_pipeline.pieces_stage(spark, docs, DATA).collect()
+    assert len(last) == len(rows) and {r.n_tokens for r in last if r.doc_id in (3, 4)} == {0}
+    assert corpus_pipeline.pieces_stage(spark, docs.limit(0), DATA).collect() == []
     assert sorted(r.doc_id or -1 for r in corpus_pipeline.exact_stage(spark, docs, DATA).collect()) == [-1, 1, 3, 5, 5]
     assert sorted(r.doc_id or -1 for r in corpus_pipeline.near_stage(spark, docs, DATA).collect()) == [-1, 1, 3, 4]
+    other = docs.unionByName(docs.where("doc_id = 4").withColumn("text", F.lit(long)))  # a doc_id again, with another text
+    assert sorted(r.doc_id or -1 for r in corpus_pipeline.exact_stage(spark, other, DATA).collect()) == [-1, 1, 3, 5, 5]
