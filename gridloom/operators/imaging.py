@@ -8,9 +8,11 @@ also given as DataFrames.
 from __future__ import annotations
 
 import logging
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import GridError
 from ..meta import ArraySpec
@@ -278,38 +280,49 @@ class Scene:
         return MultiscaleImage.open(self.group.handle.resolve(normal_path(path)))
 
     def graph(self, spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """nodes (id), edges (source, target, type) and warnings (reference): coordinate systems, the transforms
-        between them, and references that no system answers, found by an anti join."""
-        nodes = [f".#{s['name']}" for s in self.document.get("coordinateSystems") or ()]
+        """nodes (id, path, name, axes): coordinate systems; edges (position, name, type, source, target, path): each
+        transform and each part of one, a part without a name having that of the whole, an end null where no system
+        answers to it; warnings (position, side, reference): those ends."""
+        systems = [(".", s) for s in self.document.get("coordinateSystems") or ()]
         for name in self.images():
             entry = self.open_image(name).document["multiscales"][0]
-            nodes += [f"{name}#{s['name']}" for s in entry.get("coordinateSystems") or ()]
-        edges: list[tuple] = []
-
-        def known(ref) -> str | None:
-            text = reference(ref)
-            if text is None:
-                return None
-            path, hash_, name = text.partition("#")
-            if hash_:
-                return f"{normal_path(path) if path not in ('', '.') else '.'}#{name}"
-            return next((n for n in nodes if n == f".#{text}"), next((n for n in nodes if n.startswith(f"{normal_path(text)}#")), text))
-
-        def walk(t: dict, source=None, target=None) -> None:
-            source, target = known(t.get("input")) or source, known(t.get("output")) or target
-            inner = t.get("transformations") if t.get("type") == "byDimension" else None
-            if inner:
-                for part in inner:
-                    walk(part.get("transformation", part), source, target)
-            elif source and target:
-                edges.append((source, target, t.get("type")))
-
-        for t in self.document.get("coordinateTransformations") or ():
-            walk(t)
-        node_rows = spark.createDataFrame([(n,) for n in dict.fromkeys(nodes)], "id string")
-        edge_rows = spark.createDataFrame(edges, "source string, target string, type string")
-        refs = edge_rows.selectExpr("stack(2, source, target) AS reference").distinct()
-        return node_rows, edge_rows, refs.join(node_rows, refs.reference == node_rows.id, "left_anti")
+            systems += [(name, s) for s in entry.get("coordinateSystems") or ()]
+        nodes = {f"{path}#{s['name']}": (path, s["name"], [a["name"] for a in s.get("axes") or ()]) for path, s in systems}
+        every = [part for t in self.document.get("coordinateTransformations") or () for part in transform_parts(t)]
+        rows = []
+        for k, (name, t) in enumerate(every):
+            path = t.get("path")
+            rows.append((k, name, t.get("type"), answered(t.get("input"), nodes), answered(t.get("output"), nodes), path and normal_path(path)))
+        told = spark.createDataFrame(rows, "position int, name string, type string, input string, output string, path string")
+        node_rows = spark.createDataFrame([(i, *x) for i, x in nodes.items()], "id string, path string, name string, axes array<string>")
+        ids = node_rows.select("id")
+        edges = told.join(ids.toDF("source"), told.input == F.col("source"), "left").join(ids.toDF("target"), told.output == F.col("target"), "left")
+        ends = told.selectExpr("position", "stack(2, 'input', input, 'output', output) AS (side, reference)").where("reference IS NOT NULL")
+        edges = edges.select("position", told.name, "type", "source", "target", told.path)
+        return node_rows, edges, ends.join(ids, ends.reference == ids.id, "left_anti")
+
+
+def transform_parts(t: dict, inherited: str | None = None) -> Iterator[tuple[str | None, dict]]:
+    """A transform and all that it is made of, the outer before the inner, each with the name it has or inherits."""
+    name = t.get("name") or inherited
+    if "type" in t:
+        yield name, t
+    for key in ("transformations", "transformation", "forward", "inverse"):
+        inner = t.get(key) or []
+        for part in inner if isinstance(inner, list) else [inner]:
+            if isinstance(part, dict):
+                yield from transform_parts(part, name)
+
+
+def answered(ref, nodes) -> str | None:
+    """The id of the node that a reference means; where none is known, what it asks for."""
+    text = reference(ref)
+    if text is None:
+        return None
+    path, hash_, name = text.partition("#")
+    if hash_:
+        return f"{normal_path(path) if path not in ('', '.') else '.'}#{name}"
+    return next((n for n in nodes if n == f".#{text}"), next((n for n in nodes if n.startswith(f"{normal_path(text)}#")), text))
 
 
 def open_imaging(where):

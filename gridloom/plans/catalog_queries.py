@@ -7,10 +7,13 @@ so rows go through encoding, the store and the scan.
 from __future__ import annotations
 
 import functools
+import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import meta
 from ..functions import attributes as at
 from ..functions import cells as fc
 from ..grid import grid_frame, projected
@@ -288,11 +291,17 @@ def array_window(spark, sf_dir):
     return cells.withColumn("place", F.rank().over(Window.partitionBy("d1").orderBy(F.desc("value")))).where("place <= 3").withColumn("place", F.col("place").cast("long"))
 
 
-@query("SELECT d AS size, CASE WHEN d // 512 = 0 THEN d WHEN d % (d // (d // 512 + 1)) = 0 THEN d // (d // 512 + 1) ELSE d // (d // 512 + 1) + 1 END AS chunk FROM range(1, 3000) t(d)")
+_PART = "(d // (d // 512 + 1))"
+
+
+@query(f"SELECT d AS size, CASE WHEN d // 512 = 0 THEN d WHEN d % {_PART} = 0 THEN {_PART} ELSE {_PART} + 1 END AS chunk FROM (SELECT p_partkey * 7 + 1 AS d FROM part)")
 def default_chunks(spark, sf_dir):
-    d = F.col("size")
-    part = F.floor(d / (F.floor(d / 512) + 1))
-    return spark.range(1, 3000).select(F.col("id").alias("size")).select("size", F.when(d < 512, d).when(d % part == 0, part).otherwise(part + 1).alias("chunk"))
+    def run(batches):
+        for batch in batches:
+            chunks = [meta.default_chunks((d,))[0] for d in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(chunks, pa.int64())], ["size", "chunk"])
+
+    return table(spark, sf_dir, "part").selectExpr("CAST(p_partkey * 7 + 1 AS BIGINT) AS size").mapInArrow(run, "size long, chunk long")
 
 
 @query(f"SELECT d1 AS d0, d0 AS d1, value FROM ({E_SQL})")
@@ -313,55 +322,116 @@ def blocks_all_equal(spark, sf_dir):
     return blocks.select(F.col("chunk_coords")[0].alias("c0"), F.col("chunk_coords")[1].alias("c1"), fc.all_equal(F.col("values"), 0.0).alias("empty"))
 
 
-@query("SELECT TRUE AS same")
+@query("SELECT 'other chunks' AS against, TRUE AS same UNION ALL SELECT 'other cells', NOT bool_or(p_partkey % 7 = 0) FROM part")
 def arrays_equal(spark, sf_dir):
-    plain = array(spark, sf_dir, "P", (999,), 3, (("with_codecs", (_GZIPPED,)),))
-    return fc.same_cells(plain.cells(spark), array(spark, sf_dir, "P", (500,)).cells(spark))
+    plain = array(spark, sf_dir, "P", (999,), 3, (("with_codecs", (_GZIPPED,)),)).cells(spark)
+    other = array(spark, sf_dir, "P", (500,)).cells(spark)
+    changed = other.withColumn("value", F.when((F.col("d0") % 7 == 0) & (F.col("d0") > 0), F.col("value") + 1).otherwise(F.col("value")))
+    cases = {"other chunks": other, "other cells": changed}
+    one, two = (fc.same_cells(plain, other).select(F.lit(name).alias("against"), "same") for name, other in cases.items())
+    return one.unionByName(two)
 
 
 def _GZIPPED(c):
     return c.gzip()
 
 
-def _hierarchy(spark) -> str:
+_REGION, _NATION = "replace(r_name, ' ', '_')", "replace(n_name, ' ', '_')"
+
+
+def _hierarchy(spark, sf_dir) -> str:
+    """A group for each region and in it an array for each of its nations."""
     root = work_folder(spark, "hierarchy")
-    g = Group.create(root, {"title": "root", "n": 3, "ratio": 0.5, "ok": True, "list": [1, 2, 3], "nested": {"element": "value"}})
-    g.create_array("array", SpecBuilder().with_shape(1024, 1024).with_dtype("uint8").with_chunks(512, 512))
-    g.create_group("subgroup").create_array("array", SpecBuilder().with_shape(10).with_dtype("float64").with_chunks(4))
+    own = table(spark, sf_dir, "nation").join(table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = own.selectExpr(f"{_REGION} AS region", "r_regionkey", f"{_NATION} AS nation", "n_nationkey").collect()  # tables of fixed size
+    top = Group.create(root, {"about": "regions"})
+    for region, key in sorted({(r.region, r.r_regionkey) for r in rows}):
+        keys = sorted(r.n_nationkey for r in rows if r.region == region)
+        group = top.create_group(region, {"title": region.lower(), "key": key, "share": key / 4, "even": key % 2 == 0, "nations": keys, "first": {"nation": keys[0]}})
+        for r in rows:
+            if r.region == region:
+                group.create_array(r.nation, SpecBuilder().with_shape(r.n_nationkey + 1, 30).with_dtype("int16").with_chunks(4, 11))
     return root
 
 
-@query("SELECT * FROM (VALUES ('', 'group', 3, NULL, NULL), ('array', 'array', 3, 'uint8', '1024x1024'), ('subgroup', 'group', 3, NULL, NULL), ('subgroup/array', 'array', 3, 'float64', '10')) t(path, node_type, zarr_format, data_type, shape)")
+@query(f"""SELECT '' AS path, 'group' AS node_type, 3 AS zarr_format, NULL AS data_type, NULL AS shape UNION ALL SELECT {_REGION}, 'group', 3, NULL, NULL FROM region
+    UNION ALL SELECT {_REGION} || '/' || {_NATION}, 'array', 3, 'int16', (n_nationkey + 1) || 'x30' FROM nation JOIN region ON n_regionkey = r_regionkey""")
 def list_nodes(spark, sf_dir):
-    return nodes(spark, _hierarchy(spark)).select("path", "node_type", "zarr_format", "data_type", F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape"))
+    shape = F.array_join(F.col("shape").cast("array<string>"), "x").alias("shape")
+    return nodes(spark, _hierarchy(spark, sf_dir)).select("path", "node_type", "zarr_format", "data_type", shape)
 
 
-@query("SELECT 'root' AS title, 3 AS n, CAST(0.5 AS DOUBLE) AS ratio, TRUE AS ok, CAST(6 AS BIGINT) AS total, 'value' AS element, CAST(NULL AS INTEGER) AS missing")
+@query(f"""SELECT lower({_REGION}) AS title, CAST(r_regionkey AS INTEGER) AS key, r_regionkey / 4.0::DOUBLE AS share, r_regionkey % 2 = 0 AS even, CAST(sum(n_nationkey) AS BIGINT) AS total,
+    CAST(min(n_nationkey) AS INTEGER) AS first, CAST(NULL AS INTEGER) AS missing FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey""")
 def attributes_get(spark, sf_dir):
     a = F.col("attributes")
-    total = F.aggregate(at.get_array(a, "list", "bigint"), F.lit(0).cast("long"), lambda s, x: s + x)
-    return nodes(spark, _hierarchy(spark)).where("path = ''").select(at.get_string(a, "title").alias("title"), at.get_int(a, "n").alias("n"), at.get_double(a, "ratio").alias("ratio"), at.get_boolean(a, "ok").alias("ok"), total.alias("total"), at.get_string(a, "nested.element").alias("element"), at.get_int(a, "none").alias("missing"))
+    total = F.aggregate(at.get_array(a, "nations", "bigint"), F.lit(0).cast("long"), lambda s, x: s + x)
+    plain = (at.get_string(a, "title").alias("title"), at.get_int(a, "key").alias("key"), at.get_double(a, "share").alias("share"), at.get_boolean(a, "even").alias("even"))
+    groups = nodes(spark, _hierarchy(spark, sf_dir)).where("node_type = 'group' AND path <> ''")
+    return groups.select(*plain, total.alias("total"), at.get_int(a, "first.nation").alias("first"), at.get_int(a, "none").alias("missing"))
+
+
+@query(f"SELECT {_REGION} AS path, CAST(r_regionkey * 10 AS INTEGER) AS key, 'seen' AS mark, NULL AS share FROM region")
+def attributes_changed(spark, sf_dir):
+    """Set, updated and deleted in columns, then written to the groups and read again."""
+    root = _hierarchy(spark, sf_dir)
+    a = F.col("attributes")
+    changed = at.delete_attribute(at.set_attribute(at.set_attribute(a, "mark", F.lit('"seen"')), "key", (at.get_int(a, "key") * 10).cast("string")), "share")
+    for r in nodes(spark, root).where("node_type = 'group' AND path <> ''").select("path", changed.alias("new")).collect():
+        Group.open(f"{root}/{r.path}").set_attributes(json.loads(r.new))
+    again = nodes(spark, root).where("node_type = 'group' AND path <> ''")
+    return again.select("path", at.get_int(a, "key").alias("key"), at.get_string(a, "mark").alias("mark"), at.get_string(a, "share").alias("share"))
 
 
-@query("SELECT * FROM (VALUES ('A/1', 'A', '1', 0, 0), ('A/2', 'A', '2', 0, 1), ('B/2', 'B', '2', 1, 1)) t(path, row_name, column_name, row_index, column_index)")
+@query("SELECT 'R' || n_regionkey || '/C' || n_nationkey AS path, 'R' || n_regionkey AS row_name, 'C' || n_nationkey AS column_name, CAST(n_regionkey AS INTEGER) AS row_index, CAST(n_nationkey AS INTEGER) AS column_index FROM nation")
 def plate_wells(spark, sf_dir):
-    return Plate.create(work_folder(spark, "plate"), ["A", "B"], ["1", "2"], ["A/1", "A/2", "B/2"], "test").wells(spark)
+    wells = [(r.n_regionkey, r.n_nationkey) for r in table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey").collect()]  # a table of fixed size
+    rows, columns = ([f"{c}{k}" for k in range(max(w[i] for w in wells) + 1)] for i, c in enumerate("RC"))
+    return Plate.create(work_folder(spark, "plate"), rows, columns, [f"R{r}/C{c}" for r, c in wells], "nations").wells(spark)
 
 
-@query("SELECT * FROM (VALUES (0, 's0', '16x16', '1.0,1.0'), (1, 's1', '8x8', '2.0,2.0')) t(level, path, shape, scale)")
+@query("""SELECT CAST(k AS INTEGER) AS level, 'z' || k AS path, (n // (1 << k) + 1) || 'x' || (40 // (1 << k)) AS shape, (0.75 * (1 << k))::DOUBLE || ',' || (1.25 * (1 << k))::DOUBLE AS scale
+    FROM (SELECT CAST(max(s_suppkey) AS INTEGER) AS n FROM supplier), (SELECT CAST(range AS INTEGER) AS k FROM range(4))""")
 def image_levels(spark, sf_dir):
-    image = MultiscaleImage.create(work_folder(spark, "image"), [{"name": "y", "type": "space"}, {"name": "x", "type": "space"}])
-    for k in range(2):
-        spec = SpecBuilder().with_shape(16 >> k, 16 >> k).with_dtype("uint16").with_chunks(8, 8).build()
-        image.create_level(f"s{k}", spec, [{"type": "scale", "scale": [float(1 << k)] * 2}])
+    n = _extent(spark, sf_dir, "supplier", "s_suppkey") - 1
+    image = MultiscaleImage.create(work_folder(spark, "image"), [{"name": "row", "type": "space"}, {"name": "col", "type": "space"}])
+    for k in range(4):
+        spec = SpecBuilder().with_shape((n >> k) + 1, 40 >> k).with_dtype("uint16").with_chunks(9, 10).build()
+        image.create_level(f"z{k}", spec, [{"type": "scale", "scale": [0.75 * (1 << k), 1.25 * (1 << k)]}])
     joined = lambda c: F.array_join(F.col(c).cast("array<string>"), "x" if c == "shape" else ",").alias(c)
     return MultiscaleImage.open(image.group.handle).levels(spark).select("level", "path", joined("shape"), joined("scale"))
 
 
-@query("SELECT 'imageA#physical' AS source, '.#world' AS target, 'translation' AS type")
-def scene_graph_edges(spark, sf_dir):
+#: What a transform of ``_scene`` is made of: its type, whether it has the ends, its path.
+_SCENE_PARTS = (("sequence", True, None), ("rotation", False, None), ("bijection", False, None), ("affine", False, "maps/out"), ("affine", False, "maps/back"))
+_SCENE_VALUES = ", ".join(f"('{t}', {ends}, {repr(path) if path else 'NULL'})" for t, ends, path in _SCENE_PARTS)
+
+
+def _scene(spark, sf_dir) -> Scene:
+    """An image for each region, with a transform to the whole; one more that leads nowhere."""
     root = work_folder(spark, "scene")
-    axes = [{"name": "y", "type": "space"}, {"name": "x", "type": "space"}]
-    Scene.create(root, [{"name": "world", "axes": axes}], [{"type": "translation", "input": "imageA#physical", "output": ".#world", "translation": [1.0, 2.0]}])
-    MultiscaleImage.create(f"{root}/imageA", axes, "multiscales", "0.6")
-    return Scene.open(root).graph(spark)[1]
+    axes = [{"name": "row", "type": "space"}, {"name": "col", "type": "space"}]
+    names = [r.name for r in table(spark, sf_dir, "region").selectExpr(f"{_REGION} AS name").collect()]  # a table of fixed size
+    for name in names:
+        MultiscaleImage.create(f"{root}/{name}", axes, "views", "0.6")
+    own = MultiscaleImage.open(f"{root}/{names[0]}").document["multiscales"][0]["coordinateSystems"][0]["name"]
+    inner = [{"type": "rotation"}, {"type": "bijection", "forward": {"type": "affine", "path": "maps/out"}, "inverse": {"type": "affine", "path": "./maps/back"}}]
+    steps = [{"type": "sequence", "name": f"to_{n}", "input": f"{n}#{own}", "output": {"name": "globe"}, "transformations": inner} for n in names]
+    return Scene.create(root, [{"name": "globe", "axes": axes}], [*steps, {"type": "identity", "input": "moon#own", "output": "globe"}])
+
+
+@query(f"""SELECT 'to_' || {_REGION} AS name, type, CASE WHEN ends THEN {_REGION} END AS source, CASE WHEN ends THEN '.#globe' END AS target, path FROM region, (VALUES {_SCENE_VALUES}) t(type, ends, path)
+    UNION ALL SELECT NULL, 'identity', NULL, '.#globe', NULL""")
+def scene_graph_edges(spark, sf_dir):
+    edges = _scene(spark, sf_dir).graph(spark)[1]
+    return edges.select("name", "type", F.substring_index("source", "#", 1).alias("source"), "target", "path")
+
+
+@query(f"SELECT {_REGION} AS path, 'row,col' AS axes FROM region UNION ALL SELECT '.', 'row,col'")
+def scene_graph_nodes(spark, sf_dir):
+    return _scene(spark, sf_dir).graph(spark)[0].select("path", F.array_join("axes", ",").alias("axes"))
+
+
+@query("SELECT 'input' AS side, 'moon#own' AS reference")
+def scene_graph_warnings(spark, sf_dir):
+    return _scene(spark, sf_dir).graph(spark)[2].select("side", "reference")

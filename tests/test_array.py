@@ -63,8 +63,11 @@ def test_types_through_frames(spark, tmp_path, dtype):
     assert tuple(got) == (part.size, float(part.astype(float).sum()))
 
 
-@pytest.mark.parametrize("shape,chunk,size", [(52, 17, 32), (71, 11, 12), (52, 17, 17), (50, 3, 7), (50, 3, 22), (13, 31, 21)])
-def test_unaligned(tmp_path, shape, chunk, size):
+# Chunks that divide the extent, don't, or exceed it; windows shorter than, as long as and longer than a chunk.
+@pytest.mark.parametrize("more", [-1, 0, 5])
+@pytest.mark.parametrize("chunk", [6, 8, 40])
+def test_unaligned(tmp_path, chunk, more):
+    shape, size = 36, chunk + more
     array = Array.create(str(tmp_path), spec(shape=(shape,), chunks=(chunk,)))
     data = np.arange(shape, dtype="u4")
     for at in range(0, shape, size):
