@@ -7,6 +7,7 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..errors import GridError
 from ..grid import checked_selection, chunk_coords, copy_region, in_grid, projection
@@ -70,8 +71,13 @@ class Array:
         return offset, shape
 
     def cells(self, spark: SparkSession, offset=None, shape=None, **options) -> DataFrame:
-        """A row per cell: the dimensions and ``value``. Predicates on dimensions prune chunks as well."""
-        return self._frame(spark, "cells", offset, shape, **options)
+        """A row per cell: the dimensions and ``value``. Predicates on dimensions prune chunks as well.
+
+        Spark keeps what was pushed to a loaded frame for the next plan that pushes nothing, so the frame comes with a
+        predicate of its own. Within one plan (a union or self-join) it still keeps only one of two uses' predicates:
+        there, call this once for each use, or give the selection here."""
+        frame = self._frame(spark, "cells", offset, shape, **options)
+        return frame.where(F.col(self.spec.dims[0]) >= 0) if self.spec.shape else frame
 
     def blocks(self, spark: SparkSession, offset=None, shape=None, **options) -> DataFrame:
         """A row per chunk with its cells inside the selection."""

@@ -215,3 +215,11 @@ def test_repeated_cells_are_combined_before_the_chunks(spark, tmp_path, monkeypa
     monkeypatch.setattr(sink, "numpy_values", lambda values, s, own=sink.numpy_values: own(values, s) if len(values) <= 4 else 1 / 0)
     assert array.write_cells(spark.range(10000).selectExpr("id % 3 AS d0", "CASE WHEN id % 3 = 2 THEN NULL ELSE id END AS value")) == (1, 0)
     assert array.read().tolist() == [9999, 9997, 7, 7, 7, 7, 7, 7]
+
+
+def test_a_filtered_frame_can_be_used_again(spark, tmp_path):
+    array = Array.create(str(tmp_path), spec(shape=(90,), chunks=(10,)))
+    array.write(np.arange(90, dtype="u4"))
+    df = array.cells(spark)
+    assert (df.where("d0 = 3").count(), df.where("d0 > 49").count(), df.count(), df.where("value = 7").count()) == (1, 40, 90, 1)
+    assert array.cells(spark).where("d0 = 3").union(array.cells(spark).where("d0 > 49")).count() == 41
