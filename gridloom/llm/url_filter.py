@@ -2,15 +2,15 @@
 
 The tree is grown from the table's own URLs:
 
-1. Segments that look variable (digits, or long with digits) become ``*``; so does what stands below ``DEPTH`` segments
-   (with ``evidence`` the tree is as deep as the paths).
-2. Level by level, a node of a host with more than ``WIDE`` different children that are rare (fewer than ``RARE`` URLs
-   each on average) has its children generalised into one ``*`` (with ``evidence`` only those that are rare themselves).
-3. Sibling branches are merged where their labelled URLs don't tell them apart: a branch whose share of bad URLs lies
-   within ``Z`` standard deviations of its siblings' together, or that has no labels, joins the branch ``~``
-   (unlabelled ones stay apart with ``evidence``).
-4. A template is rejected where its smoothed labelled purity, (bad + STRENGTH * prior) / (labelled + STRENGTH) with
-   the table's overall share as the prior, is at least ``PURITY``.
+1. Segments that look variable (digits, or long with digits) become ``*``.
+2. Level by level, where a node of a host has more than ``WIDE`` different children that are rare (fewer than ``RARE``
+   URLs each), these are generalised into one ``*``; frequent ones stay nodes of their own. The tree is as deep as the
+   paths.
+3. Sibling branches are merged into the branch ``~`` where their labelled URLs don't tell them apart: where a branch's
+   share of bad URLs lies within ``Z`` standard deviations of its siblings' without it. A branch without labels is
+   merged with none.
+4. A template is rejected where it has labelled URLs and its smoothed labelled purity, (bad + STRENGTH * prior) /
+   (labelled + STRENGTH) with the table's overall share as the prior, is at least ``PURITY``.
 
 Labels are the verdicts of the rules, or a table of labelled URLs. Everything is grouped by host, template and
 segment with sums that Spark combines before the shuffle, so a host with a third of all URLs takes one row per
@@ -36,10 +36,11 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-DEPTH = 3
 WIDE, RARE = 20, 5
 Z = 1.96
 STRENGTH, PURITY = 10.0, 0.75
+#: Levels that the SQL of the query spells out; SQL has no loop over levels.
+SQL_LEVELS = 8
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -64,14 +65,6 @@ def shape(path: Column) -> Column:
     return F.transform(parts, lambda x: F.when(x.rlike(r"^[0-9._-]+(\.[A-Za-z]{1,5})?$") | ((F.length(x) >= 12) & x.rlike("[0-9]")), F.lit("*")).otherwise(x))
 
 
-def segments(path: Column) -> list[Column]:
-    """The first ``DEPTH`` segments of the shape; a deeper path ends in ``*``; "" where there is none."""
-    general = shape(path)
-    own = [F.coalesce(F.get(general, F.lit(k)), F.lit("")) for k in range(DEPTH)]
-    own[-1] = F.when(F.size(general) > DEPTH, F.lit("*")).otherwise(own[-1])
-    return own
-
-
 def named(child: DataFrame) -> DataFrame:
     """host, t, s and the name below t of every branch s; ``child``: host, t, s, n, bad, labelled.
 
@@ -119,87 +112,59 @@ def grown(urls: DataFrame, folder: str) -> DataFrame:
     return out
 
 
-def templates(urls: DataFrame) -> DataFrame:
-    """host, s0 ... of every path shape, with its template; ``urls``: host, s0 ..., bad (1, 0 or null: not labelled)."""
-    own = [f"s{k}" for k in range(DEPTH)]
-    shapes = urls.groupBy("host", *own).agg(F.count("*").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"), F.count("bad").alias("labelled"))
-    shapes = shapes.withColumn("t0", F.lit(""))
-    for k in range(DEPTH):
-        child = shapes.groupBy("host", f"t{k}", f"s{k}").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled"))
-        node = child.groupBy("host", f"t{k}").agg(F.count("*").alias("children"), F.sum("n").alias("urls"), F.sum("bad").alias("all_bad"), F.sum("labelled").alias("all_labelled"))
-        child = child.join(node, ["host", f"t{k}"])
-        wild = (F.col("children") > WIDE) & (F.col("urls") < RARE * F.col("children"))
-        p = F.col("all_bad") / F.col("all_labelled")
-        alike = (F.col("labelled") == 0) | (F.abs(F.col("bad") - F.col("labelled") * p) <= Z * F.sqrt(F.col("labelled") * p * (1 - p)))
-        name = F.when(F.col(f"s{k}") == "", "").when(wild | (F.col(f"s{k}") == "*"), "/*").when((F.col("children") > 1) & (F.col("all_labelled") > 0) & alike, "/~").otherwise(F.concat(F.lit("/"), f"s{k}"))
-        child = child.select("host", f"t{k}", f"s{k}", F.concat(f"t{k}", name).alias(f"t{k + 1}"))
-        shapes = shapes.join(child, ["host", f"t{k}", f"s{k}"])
-    return shapes.select("host", *own, F.col(f"t{DEPTH}").alias("template"), "n", "bad", "labelled")
-
-
-def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES, evidence: bool | None = None) -> DataFrame:
+def url_filter(pages: DataFrame, labelled: DataFrame | None = None, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, template of each row. ``labelled``: url, bad (1 or 0); else the rules' own
-    verdicts are the labels.
-
-    ``evidence`` (by default where there is a labelled table): branches without labelled URLs stay apart, a labelled
-    one is compared with its siblings without it, and a template without labelled URLs is never rejected. Off, the
-    tree is that of ``oracle_sql``, which binds the registered query: unlabelled branches join their siblings."""
-    evidence = labelled is not None if evidence is None else evidence
+    verdicts are the labels."""
     folder = work_folder(pages.sparkSession, "urls")
     host, path = host_and_path(F.col("url"))
 
     def shaped(df: DataFrame, *more: Column | str) -> DataFrame:
         df = df.select(*more, host.alias("host"), path.alias("path"))
-        shaped = [shape(F.col("path")).alias("shape")] if evidence else [c.alias(f"s{k}") for k, c in enumerate(segments(F.col("path")))]
-        return df.select("*", *shaped, rule_of(F.col("host"), F.col("path"), rules).alias("r"))
+        return df.select("*", shape(F.col("path")).alias("shape"), rule_of(F.col("host"), F.col("path"), rules).alias("r"))
 
     urls = stored(shaped(pages, "page_id"), folder, "urls")
-    by_rule = urls.where("host <> ''").withColumn("bad", F.when(F.col("r.verdict") == "block", 1).when(F.col("r.verdict") == "allow", 0))
-    given = by_rule if labelled is None else by_rule.withColumn("bad", F.lit(None).cast("int")).drop("page_id").unionByName(shaped(labelled, "bad").where("host <> ''"))
-    known = stored(grown(stored(given.select("host", "shape", "bad"), folder, "given"), folder) if evidence else templates(given), folder, "templates")
-    prior = known.agg(F.coalesce(F.sum("bad") / F.sum("labelled"), F.lit(0.0)).alias("prior"))
-    pure = known.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).crossJoin(F.broadcast(prior))
-    if evidence:
-        pure = pure.where("labelled > 0")
-    pure = pure.where((F.col("bad") + STRENGTH * F.col("prior")) / (F.col("labelled") + STRENGTH) >= PURITY).select("host", "template", F.lit("block").alias("rejected"))
-    own = ["host", "shape"] if evidence else ["host", *(f"s{k}" for k in range(DEPTH))]
-    judged = urls.join(known.select(*own, "template").join(pure, ["host", "template"], "left"), own, "left")
+    bad = F.when(F.col("r.verdict") == "block", 1).when(F.col("r.verdict") == "allow", 0)
+    given = urls.where("host <> ''").select("host", "shape", (bad if labelled is None else F.lit(None).cast("int")).alias("bad"))
+    if labelled is not None:
+        given = given.unionByName(shaped(labelled, F.col("bad").cast("int").alias("bad")).where("host <> ''").select("host", "shape", "bad"))
+    known = stored(grown(stored(given, folder, "given"), folder), folder, "templates")
+    bad, labelled_n = known.agg(F.sum("bad"), F.sum("labelled")).first()
+    prior = (bad or 0) / labelled_n if labelled_n else 0.0
+    sums = known.groupBy("host", "template").agg(F.sum("bad").alias("bad"), F.sum("labelled").alias("labelled")).where("labelled > 0")
+    pure = sums.where((F.col("bad") + STRENGTH * prior) / (F.col("labelled") + STRENGTH) >= PURITY).select("host", "template", F.lit("block").alias("rejected"))
+    judged = urls.join(known.select("host", "shape", "template").join(pure, ["host", "template"], "left"), ["host", "shape"], "left")
     return judged.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce("r.verdict", "rejected", F.lit("allow")).alias("verdict"), "template")
 
 
 def oracle_sql() -> str:
     """The query's rows in DuckDB's SQL, with the rules' verdicts as labels."""
-    own = ", ".join(f"s{k}" for k in range(DEPTH))
     fits = " ".join(
         f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN ['{h}{p}', '{v}']"
         for v, h, p in sorted(RULES, key=lambda r: -len(r[1] + r[2]))
     )
-    segs = ", ".join(
-        (f"CASE WHEN len(parts) > {DEPTH} THEN '*' ELSE coalesce(g[{k + 1}], '') END" if k == DEPTH - 1 else f"coalesce(g[{k + 1}], '')") + f" AS s{k}"
-        for k in range(DEPTH)
-    )
     levels = ""
-    for k in range(DEPTH):
+    for k in range(SQL_LEVELS):
         levels += f"""
-        c{k} AS (SELECT host, t{k}, s{k}, sum(n) AS n, sum(bad) AS bad, sum(labelled) AS labelled FROM l{k} GROUP BY ALL),
-        d{k} AS (SELECT *, count(*) OVER w AS children, sum(n) OVER w AS urls, sum(labelled) OVER w AS al, sum(bad) OVER w / sum(labelled) OVER w AS p
-                 FROM c{k} WINDOW w AS (PARTITION BY host, t{k})),
-        e{k} AS (SELECT host, t{k}, s{k}, t{k} || CASE WHEN s{k} = '' THEN '' WHEN s{k} = '*' OR children > {WIDE} AND urls < {RARE} * children THEN '/*'
-                 WHEN children > 1 AND al > 0 AND (labelled = 0 OR abs(bad - labelled * p) <= {Z} * sqrt(labelled * p * (1 - p))) THEN '/~'
-                 ELSE '/' || s{k} END AS t{k + 1} FROM d{k}),
-        l{k + 1} AS (SELECT l{k}.*, t{k + 1} FROM l{k} JOIN e{k} USING (host, t{k}, s{k})),"""
+        c{k} AS (SELECT host, t, coalesce(g[{k + 1}], '') AS s, sum(n) AS n, sum(bad) AS bad, sum(m) AS m FROM l{k} GROUP BY ALL),
+        r{k} AS (SELECT *, n < {RARE} AND s NOT IN ('', '*') AS rare FROM c{k}),
+        w{k} AS (SELECT *, count(*) FILTER (rare) OVER (PARTITION BY host, t) > {WIDE} AND (rare OR s = '*') AS few FROM r{k}),
+        d{k} AS (SELECT *, sum(bad) OVER w AS ab, sum(m) OVER w AS am FROM w{k} WINDOW w AS (PARTITION BY host, t, few)),
+        a{k} AS (SELECT *, m > 0 AND am > m AS two, (ab + 1) / (am + 2) AS p FROM d{k}),
+        b{k} AS (SELECT *, two AND abs(bad / nullif(m, 0) - (ab - bad) / nullif(am - m, 0)) > {Z} * sqrt(p * (1 - p) * (1 / nullif(m, 0) + 1 / nullif(am - m, 0))) AS apart FROM a{k}),
+        e{k} AS (SELECT host, t, s, CASE WHEN s = '' THEN '' WHEN s = '*' OR few AND NOT apart THEN '/*' WHEN two AND NOT apart THEN '/~' ELSE '/' || s END AS name FROM b{k}),
+        l{k + 1} AS (SELECT host, g, n, bad, m, l{k}.t || name AS t FROM l{k} JOIN e{k} ON l{k}.host = e{k}.host AND l{k}.t = e{k}.t AND coalesce(g[{k + 1}], '') = s),""".replace("SELECT host, g, n", f"SELECT l{k}.host, g, n")
+    last = f"l{SQL_LEVELS}"
     return rf"""
         WITH a AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS r FROM pages),
         b AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                      regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM a),
         c AS (SELECT *, list_filter(string_split(path, '/'), lambda x: x <> '') AS parts, CASE {fits} END AS r FROM b),
-        u AS (SELECT page_id, host, path, r[1] AS rule, r[2] AS v, {segs} FROM (SELECT *, list_transform(parts, lambda x:
-              CASE WHEN regexp_full_match(x, '[0-9._-]+(\.[A-Za-z]{{1,5}})?') OR length(x) >= 12 AND regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS g FROM c)),
-        l0 AS (SELECT host, {own}, count(*) AS n, count(*) FILTER (v = 'block') AS bad, count(v) AS labelled, '' AS t0
-               FROM u WHERE host <> '' GROUP BY ALL),{levels}
-        prior AS (SELECT coalesce(sum(bad) / sum(labelled), 0) AS prior FROM l0),
-        pure AS (SELECT host, t{DEPTH}, 'block' AS rejected FROM l{DEPTH}, prior GROUP BY host, t{DEPTH}, prior
-                 HAVING (sum(bad) + {STRENGTH} * prior) / (sum(labelled) + {STRENGTH}) >= {PURITY})
-        SELECT page_id, host, path, rule, coalesce(v, rejected, 'allow') AS verdict, t{DEPTH} AS template
-        FROM u LEFT JOIN (SELECT host, {own}, t{DEPTH} FROM l{DEPTH}) USING (host, {own}) LEFT JOIN pure USING (host, t{DEPTH})
+        u AS (SELECT page_id, host, path, r[1] AS rule, r[2] AS v, list_transform(parts, lambda x:
+              CASE WHEN regexp_full_match(x, '[0-9._-]+(\.[A-Za-z]{{1,5}})?') OR length(x) >= 12 AND regexp_matches(x, '[0-9]') THEN '*' ELSE x END) AS g FROM c),
+        l0 AS (SELECT host, g, count(*) AS n, count(*) FILTER (v = 'block') AS bad, count(v) AS m, '' AS t FROM u WHERE host <> '' GROUP BY ALL),{levels}
+        prior AS (SELECT coalesce(sum(bad) / sum(m), 0) AS prior FROM l0),
+        pure AS (SELECT host, t, 'block' AS rejected FROM {last}, prior GROUP BY host, t, prior
+                 HAVING sum(m) > 0 AND (sum(bad) + {STRENGTH} * prior) / (sum(m) + {STRENGTH}) >= {PURITY})
+        SELECT page_id, u.host, path, rule, coalesce(v, rejected, 'allow') AS verdict, x.t AS template
+        FROM u LEFT JOIN {last} x ON u.host = x.host AND u.g = x.g LEFT JOIN pure ON x.host = pure.host AND x.t = pure.t
     """
