@@ -52,9 +52,10 @@ class Directory:
             return sum(counts.get(i, 0) for i in range(first, first + (1 << (max_depth - local))))
 
         depth, buckets = 0, [(0, 0, sum(counts.values()))]  # prefix, local depth, hashes
-        while over := [b for b in buckets if b[2] > capacity and b[1] < max_depth]:
+        full = lambda b: b[2] > capacity and b[1] < max_depth
+        while over := [b for b in buckets if full(b)]:
             depth = max(depth, max(b[1] for b in over) + 1)  # a bucket as deep as the directory doubles it
-            buckets = [b for b in buckets if b not in over]
+            buckets = [b for b in buckets if not full(b)]
             buckets += [(2 * p + side, d + 1, held(2 * p + side, d + 1)) for p, d, _ in over for side in (0, 1)]
         slots = [0] * (1 << depth)
         for number, (prefix, local, _) in enumerate(sorted(buckets, key=lambda b: b[0] << (max_depth - b[1]))):
