@@ -4,21 +4,26 @@
    length and check digit. They always stay.
 2. Candidates: wider patterns of each kind (written-out addresses, numbers without a country code, other separators);
    they overlap the base spans and each other's kinds.
-3. Boosted trees of depth two judge candidates by format and context features in a few steps each. A candidate that
-   meets a base span of its kind is a positive example, any other a negative one; what the base patterns test
-   directly (the sign, the at, the check digit) is no feature, so the trees learn how such data looks and where it
-   stands. The features have at most ``MOST_SHAPES`` combinations; all candidates are counted by combination in Spark,
-   and only these counts come to the driver.
-4. Half of the documents fit the trees; on the other half each kind's threshold is calibrated to the lowest score
+3. Labels come from checks that the trees don't see. A candidate that meets a base span of its kind is positive. One
+   that a check refutes (the check digit or the octets are wrong, a base span of another kind covers a part of it) is
+   negative and never added. The rest is open: cue words before a span tell how much of it is real. With c the share
+   of positives that follow a cue and q that of negatives, a group of open candidates of which r follow a cue holds
+   (r - q) / (c - q) real ones. Where positives follow cues no more often than negatives by ``LEAST_CUE``, cues
+   say nothing and open candidates count as negative.
+4. Boosted trees of depth two judge candidates by format and context features in a few steps each; the sign, the at,
+   the check digit and the cue are no features. The features have at most ``MOST_SHAPES`` combinations; all candidates
+   are counted by combination in Spark, and only these counts come to the driver.
+5. Half of the documents fit the trees; on the other half each kind's threshold is calibrated to the lowest score
    whose candidates are positive with a lower confidence bound of at least ``PRECISION``. A kind without such a score
-   adds nothing. Candidates over the threshold that no base span of the kind overlaps are added.
+   adds nothing. Open candidates over the threshold are added.
 
 Texts are scanned once; spans and features are kept in a narrow table. Patterns use possessive repetition, so they
 neither backtrack over long runs nor need stack in proportion to them.
 
 Defined results: a null text counts as empty and has no spans; every row gives a row; ties in a feature go to the
-first pattern's match, leftmost and non-overlapping in each kind; without candidates nothing is added; an empty table
-gives no rows; other columns are not read.
+first pattern's match, leftmost and non-overlapping in each kind; without candidates nothing is added; a null doc_id is
+a value like any other, and rows that repeat a doc_id each give their own row; an empty table gives no rows; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -50,10 +55,12 @@ WIDER = {
 }
 CUES = {"email": r"(?i)(mail|contact|write)", "ip": r"(?i)(\bip\b|address|host|server)", "card": r"(?i)(card|visa|credit|account)", "phone": r"(?i)(phone|tel|call|mobile|fax)"}
 #: Steps of each feature.
-STEPS = {"kind": 4, "digits": 6, "gaps": 5, "bracket": 2, "cue": 2, "before": 2, "after": 2}
+STEPS = {"kind": 4, "digits": 6, "gaps": 5, "bracket": 2, "before": 2, "after": 2}
 MOST_SHAPES = math.prod(STEPS.values())
 TREES, SHRINK, LAMBDA = 24, 0.3, 1.0
 PRECISION, CONFIDENCE = 0.95, 1.96
+#: How much more often positives follow a cue than negatives, for cues to count.
+LEAST_CUE = 0.1
 CONTEXT = 24
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
@@ -125,17 +132,30 @@ def _step(x: Column, *edges: int) -> Column:
     return sum((F.when(x >= e, 1).otherwise(0) for e in edges), F.lit(0))
 
 
+def _refuted(kind: str, s: Column) -> Column:
+    """Whether a check speaks against a candidate that meets no base span of its kind."""
+    other = F.lit(False)
+    for k in KINDS:
+        if k != kind:
+            other = other | _meets(s, F.col(k))
+    digits = _digits(s["m"])
+    if kind == "card":
+        return other | ~luhn(digits)
+    return other | ~_valid("ip", F.regexp_replace(s["m"], "[,:]", ".")) if kind == "ip" else other
+
+
 def _described(kind: str) -> Column:
-    """A kind's candidates with their features and whether they meet a base span of the kind."""
+    """A kind's candidates with their features, cue and label: 1 positive, 0 negative, null open."""
 
     def one(s: Column) -> Column:
         m = s["m"]
         return F.struct(
             s["start"].alias("start"), s["stop"].alias("stop"), F.lit(KINDS.index(kind)).alias("kind"),
             _step(F.length(_digits(m)), 1, 8, 11, 14, 16).alias("digits"), _step(F.length(F.regexp_replace(m, r"[^ ().,:_\[\]-]", "")), 1, 2, 3, 4).alias("gaps"),
-            m.rlike(r"[(\[]").cast("int").alias("bracket"), s["before"].rlike(CUES[kind]).cast("int").alias("cue"),
+            m.rlike(r"[(\[]").cast("int").alias("bracket"),
             s["before"].rlike(r"[A-Za-z0-9]$").cast("int").alias("before"), s["after"].rlike(r"^[A-Za-z0-9]").cast("int").alias("after"),
-            _meets(s, F.col(kind)).alias("base"),
+            s["before"].rlike(CUES[kind]).cast("int").alias("cue"),
+            F.when(_meets(s, F.col(kind)), 1).when(_refuted(kind, s), 0).alias("label"),
         )
 
     return F.transform(f"wide_{kind}", one)
@@ -162,7 +182,7 @@ class Tree:
         return F.when(x[self.root[0]] > self.root[1], side(1)).otherwise(side(0))
 
 
-def boosted(shapes: list[tuple[dict[str, int], int, int]]) -> list[Tree]:
+def boosted(shapes: list[tuple[dict[str, int], int, float]]) -> list[Tree]:
     """From (features, candidates, positives) of each combination, by Newton steps on the logistic loss."""
     score, trees = [0.0] * len(shapes), []
     splits = [(f, c) for f, n in STEPS.items() for c in range(n - 1)]
@@ -197,7 +217,7 @@ def boosted(shapes: list[tuple[dict[str, int], int, int]]) -> list[Tree]:
     return trees
 
 
-def thresholds(trees: list[Tree], shapes: list[tuple[dict[str, int], int, int]]) -> dict[int, float]:
+def thresholds(trees: list[Tree], shapes: list[tuple[dict[str, int], int, float]]) -> dict[int, float]:
     """By kind: the lowest score down to which candidates are positive often enough."""
     out: dict[int, float] = {}
     for kind in range(len(KINDS)):
@@ -207,13 +227,35 @@ def thresholds(trees: list[Tree], shapes: list[tuple[dict[str, int], int, int]])
             n, pos = n + more, pos + good
             if i + 1 < len(own) and own[i + 1][0] == score:
                 continue
-            z2, share = CONFIDENCE**2, pos / n
+            z2, share = CONFIDENCE**2, min(max(pos / n, 0.0), 1.0)
             low = (share + z2 / (2 * n) - CONFIDENCE * math.sqrt(share * (1 - share) / n + z2 / (4 * n * n))) / (1 + z2 / n)
             if low >= PRECISION:
                 out[kind] = score - 1e-9
     return out
 
 
+def cue_rates(counts: list[dict[str, int]]) -> dict[int, tuple[float, float]]:
+    """By kind: the shares of positives and of negatives that follow a cue, where they are far enough apart."""
+    out = {}
+    for kind in range(len(KINDS)):
+        n, cued, bad, bad_cued = (sum(r[x] for r in counts if r["kind"] == kind) for x in ("good", "good_cued", "bad", "bad_cued"))
+        c, q = cued / n if n else 0.0, bad_cued / bad if bad else 0.0
+        if c - q >= LEAST_CUE:
+            out[kind] = (c, q)
+    return out
+
+
+def estimated(counts: list[dict[str, int]], rates: dict[int, tuple[float, float]]) -> list[tuple[dict[str, int], int, float]]:
+    """(features, candidates, positives) of each combination. The share of an open group is not cut off at 0 and 1, so
+    that sums over combinations are not pushed to one side."""
+    out = []
+    for r in counts:
+        c, q = rates.get(r["kind"], (1.0, 0.0))
+        real = (r["open_cued"] - q * r["open"]) / (c - q) if r["kind"] in rates else 0.0
+        out.append(({f: r[f] for f in STEPS}, r["good"] + r["bad"] + r["open"], r["good"] + real))
+    return out
+
+
 def _is_kind(i: int):
     return lambda c: c["kind"] == i
 
@@ -225,10 +267,12 @@ def personal_data(docs: DataFrame) -> DataFrame:
     wide = F.flatten(F.array(*(_described(k) for k in KINDS)))
     told = stored(found.select("doc_id", "half", *KINDS, wide.alias("wide")), folder, "told")
     names = list(STEPS)
-    counted = told.select("half", F.explode("wide").alias("c")).groupBy("half", *(F.col(f"c.{f}").alias(f) for f in names)).agg(F.count("*").alias("n"), F.sum(F.col("c.base").cast("int")).alias("good"))
-    halves: tuple[list, list] = ([], [])
-    for r in sorted(counted.collect()):  # at most 2 * MOST_SHAPES rows
-        halves[r["half"]].append(({f: r[f] for f in names}, r["n"], r["good"]))
+    kinds = {"good": F.col("c.label") == 1, "bad": F.col("c.label") == 0, "open": F.col("c.label").isNull()}
+    sums = [F.count_if(own).alias(name) for name, own in kinds.items()] + [F.count_if(own & (F.col("c.cue") == 1)).alias(f"{name}_cued") for name, own in kinds.items()]
+    counted = told.select("half", F.explode("wide").alias("c")).groupBy("half", *(F.col(f"c.{f}").alias(f) for f in names)).agg(*sums)
+    rows = [r.asDict() for r in sorted(counted.collect())]  # at most 2 * MOST_SHAPES rows
+    rates = cue_rates([r for r in rows if r["half"] == 0])
+    halves = [estimated([r for r in rows if r["half"] == half], rates) for half in (0, 1)]
     trees = boosted(halves[0])
     least = thresholds(trees, halves[1])
 
@@ -237,7 +281,7 @@ def personal_data(docs: DataFrame) -> DataFrame:
         over = F.lit(False)
         for kind, at in least.items():
             over = over | ((c["kind"] == kind) & (score >= at))
-        return over & ~c["base"]
+        return over & c["label"].isNull()
 
     def listed(kind: str, spans: Column) -> Column:
         return F.transform(spans, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["stop"].alias("stop")))

@@ -54,6 +54,97 @@ def test_learned_spans_are_added(spark):
     assert sum(r.n_phone for r in got.values()) == 300
 
 
+def planted():
+    """Documents with numbers and addresses of which half follow a cue, and with part numbers that never do; id -> the
+    span that should be added."""
+    rows, want = [], {}
+    for i in range(1200):
+        cue = "call my phone " if i % 2 else "reach them on "
+        rows.append((i, f"{cue}+1 ({200 + i % 700}) 555-{1000 + i} or not"))
+        rows.append((10000 + i, f"part 12{i % 90 + 10}-{i % 800 + 100}-{i % 900 + 100}7 fits"))
+        rows.append((20000 + i, f"{'contact ' if i % 2 else 'by '}name{i}@host{i}.org now"))
+        if i % 3 == 0:
+            rows.append((30000 + i, f"{cue}({200 + i % 700}) 555-{1000 + i} or not"))
+            want[30000 + i] = f"phone:{len(cue)}:{len(cue) + 14}"
+            start, address = ("contact ", "by ")[i // 3 % 2], f"name{i} [at] host{i} [dot] org"
+            rows.append((40000 + i, f"{start}{address} now"))
+            want[40000 + i] = f"email:{len(start)}:{len(start) + len(address)}"
+    return rows, want
+
+
+def test_planted_spans_are_found(spark):
+    rows, want = planted()
+    got = {r.doc_id: r for r in pii.redactions(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[i].spans == spans for i, spans in want.items()) >= 0.9 * len(want)
+    assert all(got[10000 + i].spans == "" for i in range(1200))
+
+
+def brute_added(rows, half):
+    """The spans added, by Python's patterns and loops over all rows; only the trees' fit is shared."""
+
+    def meets(x, spans):
+        return any(s < x[1] and x[0] < e for s, e in spans)
+
+    def reached(x, edges):
+        return sum(x >= e for e in edges)
+
+    found = []
+    for at, (_, text) in enumerate(rows):
+        text = text or ""
+        by_kind = {k: [(s, e) for kind, s, e in base(text) if kind == k] for k in pii.KINDS}
+        for kind in pii.KINDS:
+            end = 0
+            matches = list(re.finditer(pii.WIDER[kind], text))
+            for j, m in enumerate(matches):
+                before = text[end : m.start()][-pii.CONTEXT :]
+                after = text[m.end() : matches[j + 1].start() if j + 1 < len(matches) else None][: pii.CONTEXT]
+                end = m.end()
+                digits, span = re.sub("[^0-9]", "", m[0]), m.span()
+                x = {"kind": pii.KINDS.index(kind), "digits": reached(len(digits), (1, 8, 11, 14, 16)), "gaps": reached(len(re.sub(r"[^ ().,:_\[\]-]", "", m[0])), (1, 2, 3, 4))}
+                x |= {"bracket": int(bool(re.search(r"[(\[]", m[0]))), "before": int(bool(re.search("[A-Za-z0-9]$", before))), "after": int(bool(re.match("[A-Za-z0-9]", after)))}
+                each = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+                wrong = any(meets(span, by_kind[k]) for k in pii.KINDS if k != kind)
+                wrong |= kind == "card" and sum(y - 9 if y > 9 else y for y in each) % 10 != 0
+                wrong |= kind == "ip" and any(int(p) > 255 for p in re.split("[.,:]", m[0]))
+                label = "good" if meets(span, by_kind[kind]) else "bad" if wrong else "open"
+                found.append((half[at], x, label, bool(re.search(pii.CUES[kind], before)), at, f"{kind}:{span[0]}:{span[1]}"))
+    counts = []
+    for h in (0, 1):
+        own = {}
+        for fh, x, label, cue, _, _ in found:
+            if fh == h:
+                r = own.setdefault(tuple(x.values()), x | dict.fromkeys(["good", "bad", "open", "good_cued", "bad_cued", "open_cued"], 0))
+                r[label] += 1
+                r[f"{label}_cued"] += cue
+        counts.append([own[k] for k in sorted(own)])
+    rates = pii.cue_rates(counts[0])
+    trees = pii.boosted(pii.estimated(counts[0], rates))
+    least = pii.thresholds(trees, pii.estimated(counts[1], rates))
+    added = [[] for _ in rows]
+    for _, x, label, _, at, span in found:
+        if label == "open" and x["kind"] in least and sum(t.of(x) for t in trees) >= least[x["kind"]]:
+            added[at].append(span)
+    return added
+
+
+def test_added_spans_same_as_brute_force(spark):
+    from pyspark.sql import functions as F
+
+    rows = planted()[0] + [(50000 + i, t) for i, t in enumerate(TEXTS) if len(t or "") < 1000]
+    rows += [(60000 + i, f"card {4111111111111111 + 7 * i} and {370000000000002 + i} at 10.0.{i % 300}.1, 1:2:3:{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    half = {r[0]: r[1] for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.lit(2))).collect()}
+    want = brute_added(rows, [half[i] for i, _ in rows])
+    got = {r.doc_id: [f"{a.kind}:{a.start}:{a.stop}" for a in r.added] for r in pii.personal_data(docs).collect()}
+    assert any(want) and [got[i] for i, _ in rows] == want
+
+
+def test_null_and_repeated_ids(spark):
+    rows = [(None, "a@b.c"), (None, "1.2.3.4"), (7, "x@y.z"), (7, None)]
+    got = sorted(r.spans for r in pii.redactions(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == ["", "email:0:5", "email:0:5", "ip:0:7"]
+
+
 def test_trees_in_columns_and_in_python(spark):
     shapes = [({**dict.fromkeys(pii.STEPS, 0), "digits": d, "gaps": g}, 50, 45 if (d > 2) != (g > 1) else 3) for d in range(6) for g in range(5)]
     trees = pii.boosted(shapes)
