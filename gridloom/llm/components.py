@@ -13,8 +13,8 @@ def components(links: DataFrame, folder: str, name: str) -> DataFrame:
 
     Each round a node takes the smallest label among itself and its neighbours and then the label of that label, so
     labels travel twice as far every round. Labels are written to the shared folder each round; only the number of
-    changed labels comes to the driver. A node with very many links meets its neighbours' labels pre-combined, and where its
-own label goes to them, or where very many nodes ask for one label, the rows are dealt to many tasks.
+    changed labels comes to the driver. A node with very many links meets its neighbours' labels pre-combined, and
+    where its own label goes to them, or where very many nodes ask for one label, the rows are dealt to many tasks.
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     edges = stored(both, folder, f"{name}-edges")
