@@ -80,7 +80,8 @@ def test_planted_spans_are_found(spark):
 
 
 def brute_added(rows, half):
-    """The spans added, by Python's patterns and loops over all rows; only the trees' fit is shared."""
+    """The spans added, by Python's patterns and loops over all rows; what follows the counts (cue rates, trees,
+    thresholds) is shared with the operator."""
 
     def meets(x, spans):
         return any(s < x[1] and x[0] < e for s, e in spans)
