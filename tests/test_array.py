@@ -223,3 +223,67 @@ def test_a_filtered_frame_can_be_used_again(spark, tmp_path):
     df = array.cells(spark)
     assert (df.where("d0 = 3").count(), df.where("d0 > 49").count(), df.count(), df.where("value = 7").count()) == (1, 40, 90, 1)
     assert array.cells(spark).where("d0 = 3").union(array.cells(spark).where("d0 > 49")).count() == 41
+
+
+def sparse(spark, where, codecs, fill=0):
+    """An array of 40 x 50 cells in chunks of 16 x 8, four of which are set; with its data."""
+    data = np.full((40, 50), fill, np.uint32)
+    for k, at in enumerate([(0, 0), (3, 9), (39, 49), (17, 8)]):
+        data[at] = 7 + k
+    array = Array.create(str(where), spec(shape=(40, 50), chunks=(16, 8), codecs=tuple(codecs), fill_value=fill))
+    array.write(data)
+    return array, data
+
+
+@pytest.mark.parametrize("fill", [0, 5])
+@pytest.mark.parametrize("codecs", [[BYTES], [BYTES, {"name": "zstd"}], [sharding([4, 4], [BYTES])]])
+def test_scan_of_what_is_stored(spark, tmp_path, codecs, fill):
+    array, data = sparse(spark, tmp_path, codecs, fill)
+    want = {(int(a), int(b), int(data[a, b])) for a, b in np.argwhere(data != fill)}
+    assert {tuple(r) for r in array.cells(spark, stored=True).collect()} == want
+    some = array.cells(spark, (2, 5), (20, 10), stored=True, partition_bytes=1)
+    assert {tuple(r) for r in some.collect()} == {w for w in want if 2 <= w[0] < 22 and 5 <= w[1] < 15}
+    keys = {r.key for r in array.chunks(spark).where("payload is not null").collect()}
+    assert {r.key for r in array.chunks(spark, stored=True).collect()} == keys and len(keys) == 4
+
+
+@pytest.mark.parametrize("codecs", [[sharding([4, 4], [BYTES])], [sharding([4, 4], [BYTES], "start"), {"name": "zstd"}], [sharding([4, 4], [BYTES, {"name": "zstd"}])]])
+def test_inner_chunks_as_rows(spark, tmp_path, codecs):
+    array, data = sparse(spark, tmp_path, codecs)
+    cut = {(a, b): data[a * 4 : a * 4 + 4, b * 4 : b * 4 + 4] for a in range(10) for b in range(13)}
+    full = {k for k, v in cut.items() if v.any()}
+    rows = array.blocks(spark, inner=True).collect()
+    assert {tuple(r.chunk_coords): (r.origin, r.block_shape, r["values"]) for r in rows} == {k: ([4 * k[0], 4 * k[1]], list(v.shape), v.ravel().tolist()) for k, v in cut.items()} and len(rows) == 130
+    assert {tuple(r.chunk_coords) for r in array.blocks(spark, inner=True, stored=True).collect()} == full
+    held = array.chunks(spark, inner=True, stored=True).collect()
+    assert {r.key for r in held} == {f"c/{a}/{b}" for a, b in full} and all(len(r.payload) == r.nbytes for r in held)
+    assert {r.key for r in array.chunks(spark, inner=True, stored=True, payload=False).where("payload is null").collect()} == {r.key for r in held}
+    for value in (0, 7):
+        told = {(r.c0, r.c1): r.equal for r in array.equal_blocks(spark, value, inner=True).collect()}
+        assert told == {k: bool((v == value).all()) for k, v in cut.items()}
+    with pytest.raises(Exception, match="inner chunks"):
+        Array.create(str(tmp_path / "plain"), spec()).blocks(spark, inner=True).collect()
+
+
+def test_cells_written_in_one_shuffle(spark, tmp_path):
+    """A frame that fills the array is shuffled by chunk alone; of repeated cells the largest stays, NaN above all."""
+    array = Array.create(str(tmp_path), spec("float64", shape=(3000,), chunks=(1000,)))
+    rows = spark.range(60000).selectExpr("id % 2500 AS d0", "CASE WHEN id % 2500 = 7 AND id < 2600 THEN double('NaN') ELSE CAST((id * 7919) % 60000 AS DOUBLE) END AS value")
+    seen = []
+    real = sink._finished
+    sink._finished = lambda handle, done: seen.append(done._jdf.queryExecution().executedPlan().toString()) or real(handle, done)
+    try:
+        array.write_cells(rows, whole=True)
+    finally:
+        sink._finished = real
+    want = np.zeros(3000)
+    np.maximum.at(want, np.arange(60000) % 2500, (np.arange(60000) * 7919 % 60000).astype(float))
+    want[7] = np.nan
+    assert np.array_equal(array.read(), want, equal_nan=True) and seen[0].count("Exchange") == 1
+
+
+def test_many_cells_are_dealt_to_many_tasks(spark, tmp_path):
+    """What a task of a scan or a comparison holds does not grow with the array."""
+    assert sink.parts_of(spark, 10) == 4 and sink.parts_of(spark, 100 * sink.PART_CELLS) == 100 and sink.parts_of(spark, 1 << 60) == sink.MOST_PARTS
+    array = Array.create(str(tmp_path), spec("float64", shape=(1 << 26,), chunks=(1 << 20,)))
+    assert array.cells(spark).rdd.getNumPartitions() == 16
