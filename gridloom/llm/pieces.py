@@ -38,8 +38,16 @@ CACHED, CACHED_CHARS = 70_000, 16
 #: Pairs of pieces kept in each generation.
 CACHED_PAIRS = 100_000
 
-#: A run of marks with letters, a run of marks with other characters, or marks alone.
-UNIT_BY_CLASS = re.compile("▁*(?:[^\\W\\d_]+|(?:(?!▁)[\\W\\d_])+)|▁+")
+
+
+def by_class(others: str = "") -> tuple[re.Pattern, re.Pattern]:
+    """Units: a run of marks with letters, a run of marks with other characters, or marks alone; and what a piece
+    must be that joins no two units. Numbers that are neither letters nor digits (like ²) count as letters, but for those in ``others``."""
+    o = re.escape(others)
+    return re.compile(f"▁*(?:[^\\W\\d_{o}]+|(?:(?!▁)[\\W\\d_{o}])+)|▁+"), re.compile(f"[^\\W\\d_{o}]*\\Z|[\\W\\d_{o}]*\\Z")
+
+
+UNIT_BY_CLASS = by_class()[0]
 #: The same without the cut between letters and others, for vocabularies that join them.
 UNIT_BY_SPACE = re.compile("▁*[^▁]+|▁+")
 
@@ -86,12 +94,13 @@ class PieceCodec:
         for piece, (_, i) in self.rank.items():
             self.found.add_word(piece, i)
         self.found.make_automaton()
-        self.length = [len(p) for p in pieces]
+        self.length, self.decimal = [len(p) for p in pieces], [str(i) for i in range(n)]
         #: The next shorter piece that a piece starts with, or -1.
         self.shorter = [next((self.rank[p[:k]][1] for k in range(len(p) - 1, 0, -1) if p[:k] in self.rank), -1) for p in pieces]
         inner = [p.lstrip(SPACE_MARK) for p in self.rank]
-        letters = re.compile(r"[^\W\d_]*\Z|[\W\d_]*\Z")
-        self.unit = UNIT_BY_CLASS if all(letters.match(p) for p in inner) else UNIT_BY_SPACE
+        joined = {c for p in inner if not by_class()[1].match(p) for c in p if UNIT_BY_CLASS.match(c) and c.isnumeric() and not c.isdecimal()}
+        unit, fits = by_class("".join(sorted(joined)))
+        self.unit = unit if all(fits.match(p) for p in inner) else UNIT_BY_SPACE
         if any(SPACE_MARK in p for p in inner):
             raise ValueError("a piece holds a space mark after another character; units can't be cut at spaces")
         self.pairs = Cache(self._compatible, CACHED_PAIRS)
@@ -125,7 +134,7 @@ class PieceCodec:
         n = len(text)
         length, shorter, pairs = self.length, self.shorter, self.pairs
         longest = self.found.iter_long
-        failed = bytearray(n // 8 + 1)
+        failed = None  # a bitfield, once a position has failed
         path: list[int] = []
         pos, before = 0, -1
         ahead = longest(text)
@@ -133,7 +142,7 @@ class PieceCodec:
         while True:
             while i >= 0:
                 stop = pos + length[i]
-                if not failed[stop >> 3] >> (stop & 7) & 1 and pairs[before << 32 | i]:
+                if (failed is None or not failed[stop >> 3] >> (stop & 7) & 1) and pairs[before << 32 | i]:
                     break
                 i, ahead = shorter[i], None  # matches are no longer where the automaton stands
             if i >= 0:
@@ -145,6 +154,8 @@ class PieceCodec:
                     ahead = longest(text, pos)
                 i = next(ahead)[1]
             else:
+                if failed is None:
+                    failed = bytearray(n // 8 + 1)
                 failed[pos >> 3] |= 1 << (pos & 7)
                 i = path.pop()
                 pos -= length[i]
@@ -164,14 +175,24 @@ class PieceCodec:
         return ids + (self._searched(unit[start:]) if start < len(unit) else [])
 
     def _kept(self, unit: str) -> tuple[str, bytes]:
-        ids = self.unit_ids(unit)
-        return ",".join(map(str, ids)), array("I", ids).tobytes()
+        ids = self._searched(unit) if self.known.issuperset(unit) else self.unit_ids(unit)
+        decimal = self.decimal
+        return ",".join([decimal[i] for i in ids]), array("I", ids).tobytes()
 
     def _parts(self, text: str | None) -> list[tuple[str, bytes]]:
         if not text:
             return []
-        units, kept = self.units, self._kept
-        return [units[u] if len(u) <= CACHED_CHARS else kept(u) for u in self.unit.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))]
+        units, kept, new = self.units, self._kept, {}
+        found = self.unit.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
+        old = units.old
+        for u in set(found):
+            if u not in units:
+                new[u] = old.get(u) or kept(u)
+        out = [units[u] if u not in new else new[u] for u in found] if new else [units[u] for u in found]
+        for u, ids in new.items():
+            if len(u) <= CACHED_CHARS:
+                units.put(u, ids)
+        return out
 
     def forget(self) -> None:
         """Empties the caches, which refer back to this codec, so that its memory is free at once."""

@@ -54,3 +54,10 @@ def test_frames(spark):
 
 def test_empty_table(spark):
     assert round_trip(spark.createDataFrame([], "doc_id long, text string"), MODEL).collect() == []
+
+
+def test_units_are_cut_between_letters_and_others():
+    """The one piece that joins a number sign to a full stop does not keep words and marks together."""
+    assert OWN.unit.findall("▁ab.▁²x") == ["▁ab", ".", "▁²", "x"]
+    for text in ("ab². ²x.²", "²½.a², b²³"):
+        assert OWN.encode(text).tolist() == LIBRARY.encode(text)
