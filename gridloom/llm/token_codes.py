@@ -165,12 +165,17 @@ class ChunkEncoder:
     def learn(self, met: set[bytes]) -> None:
         """Meets new chunks' cores in a few calls."""
         kept, cores, split = self.chunks, self.cores, self.split
-        met.difference_update(kept.keys())
-        known = met & kept.old.keys()
-        for chunk in known:
-            kept.put(chunk, kept.old.get(chunk) or self._ids(chunk))
-        new = [(chunk, *split(chunk)) for chunk in met - known]
-        todo = list({core for _, core, _ in new} - cores.keys() - cores.old.keys())
+        old, new = kept.old, []
+        for chunk in met:  # each is looked up: a set operation with the caches' keys would walk through all of these
+            if chunk in kept:
+                continue
+            ids = old.get(chunk)
+            if ids is None:
+                new.append((chunk, *split(chunk)))
+            else:
+                kept.put(chunk, ids)
+        before = cores.old
+        todo = [core for core in {core for _, core, _ in new} if core not in cores and core not in before]
         for at in range(0, len(todo), 2000):
             some = todo[at : at + 2000]
             for core, ids in zip(some, self._called(some), strict=True):

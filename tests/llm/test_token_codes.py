@@ -56,3 +56,12 @@ def test_frames(spark, monkeypatch):
 
 def test_empty_table(spark):
     assert tc.token_files(spark.createDataFrame([], "doc_id long, text string"), FILE).collect() == []
+
+
+def test_learning_does_not_walk_through_the_caches(monkeypatch):
+    from gridloom.llm.pieces import Cache
+
+    own = tc.ChunkEncoder(FILE)
+    want = [x.tolist() for x in own.encode(["One two, three.", "two four"])]
+    monkeypatch.setattr(Cache, "keys", lambda self: 1 / 0, raising=False)
+    assert [x.tolist() for x in own.encode(["One two, three.", "two four"])] == want and own.encode(["five"])[0].size
