@@ -118,19 +118,20 @@ def without_ids(docs: DataFrame, dropped: DataFrame, folder: str, name: str) ->
 HOT_KEYS, WAYS = 1000, 64
 
 
-def hot_keys(counts: DataFrame, key: str, n: str = "n") -> DataFrame:
-    """The keys of a stored table of counts that hold over 1/HOT_KEYS of all rows, so at most HOT_KEYS of them."""
+def hot_keys(counts: DataFrame, key: str, n: str = "n") -> tuple[str, list]:
+    """The column, and the keys of a stored table of counts that hold over 1/HOT_KEYS of all rows, so at most HOT_KEYS
+    of them; only these come to the driver."""
     total = counts.agg(F.sum(n)).first()[0] or 0
-    return counts.where(F.col(n) > max(HOT_KEYS, total // HOT_KEYS)).select(key)
-
-
-def split_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, hot: DataFrame, how: str = "inner") -> DataFrame:
-    """``left.join(right, on, how)`` where rows with a key in ``hot`` (one column, of ``hot_keys``) are dealt to ``WAYS``
-    parts by the column ``spread`` of the left side, and meet a copy of the right side's rows in each."""
-    (key,) = hot.columns
-    flag = F.broadcast(hot.select(key, F.lit(True).alias("is_hot")))
-    dealt = F.when(F.col("is_hot"), F.pmod(F.xxhash64(spread), F.lit(WAYS)).cast("int")).otherwise(0)
-    copies = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
-    left = left.join(flag, key, "left").withColumn("part", dealt).drop("is_hot")
-    right = right.join(flag, key, "left").withColumn("part", F.explode(copies)).drop("is_hot")
+    return key, [r[0] for r in counts.where(F.col(n) > max(HOT_KEYS, total // HOT_KEYS)).select(key).collect()]
+
+
+def split_join(left: DataFrame, right: DataFrame, on: list[str], spread: str, hot: tuple[str, list], how: str = "inner") -> DataFrame:
+    """``left.join(right, on, how)`` where rows with a key in ``hot`` (of ``hot_keys``) are dealt to ``WAYS`` parts by
+    the column ``spread`` of the left side, and meet a copy of the right side's rows in each."""
+    key, keys = hot
+    is_hot = F.col(key).isin(keys)
+    dealt = F.when(is_hot, F.pmod(F.xxhash64(spread), F.lit(WAYS)).cast("int")).otherwise(0)
+    copies = F.when(is_hot, F.sequence(F.lit(0), F.lit(WAYS - 1))).otherwise(F.array(F.lit(0)))
+    left = left.withColumn("part", dealt)
+    right = right.withColumn("part", F.explode(copies))
     return left.join(right, [*on, "part"], how).drop("part")

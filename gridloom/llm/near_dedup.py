@@ -18,7 +18,8 @@ it is 8e-8, and less at higher similarity.
    all these classes in one order, rare ones first, two linked sets have one in common among the first
    n - ceil(0.85 n) + 1 of each. Keys of that kind that are large again are compared in blocks of bounded size.
    So no link within the radius is lost.
-5. Final components over all confirmed links.
+   Pairs whose sizes, or places of their shared rare shingle, can't make a link are no candidates.
+5. Final components: the links of the rest join those of the stars.
 
 Shingles are 64-bit fingerprints of runs of words; links are confirmed on the full sets of them, which are made again
 from the texts of candidates alone. Keys and classes with very many rows are dealt to many tasks in every join.
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import bounded_set, hot_keys, parts, split_join, stored, with_membership, work_folder
@@ -119,7 +120,8 @@ def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     h = (h ^ signs[:, i]) * _MIX
                     h ^= h >> np.uint64(31)
                 keys[k] = h
-            yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(ids, len(PATTERNS)))], ["key", "id"])
+            columns = [keys.ravel().view(np.int64), np.tile(ids, len(PATTERNS)), np.tile(part.column(2).to_numpy(), len(PATTERNS))]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["key", "id", "n_shingles"])
 
 
 def _may_link(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -127,6 +129,11 @@ def _may_link(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
     return 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
 
 
+def _sizes_fit(n: str, m: str, percent: int) -> Column:
+    """The same of two columns."""
+    return 100 * F.least(n, m) >= percent * F.greatest(n, m)
+
+
 def _near(percent: int):
     """Of a, b, their sizes and signatures: the pairs within the radius."""
 
@@ -227,6 +234,13 @@ class _Job:
         both = self._both(pairs, self.sets(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), name), ("x", "y"))
         return stored(both.select("a", "b", "x", "y").mapInArrow(_similar(self.percent), "a long, b long"), self.folder, f"links-{name}")
 
+    def joined(self, placed: DataFrame, links: DataFrame) -> DataFrame:
+        """``placed`` (id, component) with components joined where a link leads from one to another."""
+        between = self._both(links, placed, ("c", "d")).select(F.col("c").alias("a"), F.col("d").alias("b"))
+        larger = components(between, self.folder, "all").toDF("component", "of")
+        hot = hot_keys(stored(placed.groupBy("component").agg(F.count("*").alias("n")), self.folder, "component-sizes"), "component")
+        return split_join(placed, larger, ["component"], "id", hot, "left").select("id", F.coalesce("of", "component").alias("component"))
+
     def rare_shingles(self, ids: DataFrame) -> DataFrame:
         """key (a shingle), id, rank: those among each set's rarest that a linked set must share one of."""
         each = stored(self.sets(ids, "rare").mapInArrow(_exploded, "id long, s long, n int"), self.folder, "shingles")
@@ -238,34 +252,34 @@ class _Job:
 
 
 def near_classes(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[_Job, DataFrame]:
-    """The job with its classes, and id, component of those classes that have links."""
+    """The job with its classes, and id, component of each class."""
     job = _Job(docs, size, percent)
     folder = job.folder
-    keys = job.classes.select("id", "sign").mapInArrow(_keys, "key long, id long")
-    mixed = F.struct(F.xxhash64("id").alias("h"), "id")
-    leaders = F.array(F.min("id"), F.min(mixed)["id"]).alias("leaders")
+    keys = job.classes.select("id", "sign", "n_shingles").mapInArrow(_keys, "key long, id long, n_shingles long")
+    sized = F.struct("id", F.col("n_shingles").alias("m"))
+    leaders = F.array(F.min(sized), F.min(F.struct(F.xxhash64("id").alias("h"), sized.alias("of")))["of"]).alias("leaders")
     several = stored(keys.groupBy("key").agg(F.count("*").alias("size"), leaders).where("size > 1"), folder, "several")
     hot = hot_keys(several, "key", "size")
     shared = stored(split_join(keys, several, ["key"], "id", hot), folder, "shared")
 
-    stars = shared.select("id", F.explode("leaders").alias("leader")).where("id <> leader")
+    stars = shared.select("id", "n_shingles", F.inline("leaders").alias("leader", "m")).where("id <> leader").where(_sizes_fit("n_shingles", "m", percent))
     stars = stars.select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b"))
     links = job.linked(job.near(stars), "stars")
     found = components(links, folder, "stars")
 
     placed = job.classes.join(found, "id", "left").withColumn("component", F.coalesce("component", "id"))
     placed = stored(placed.select("id", "component", "n_shingles", "sign"), folder, "placed")
-    members = shared.select("key", "id", "size").join(placed.select("id", "component"), "id")
+    members = shared.select("key", "id", "n_shingles", "size").join(placed.select("id", "component"), "id")
     rest = stored(_open(members, hot), folder, "open")
-    pairs = _pairs(rest.where(F.col("size") <= SMALL_KEY))
+    pairs = _pairs(rest.where(F.col("size") <= SMALL_KEY), percent)
     large = rest.where(F.col("size") > SMALL_KEY).select(F.col("id").alias("doc_id"))
-    rare = stored(job.rare_shingles(large).join(placed.select("id", "component"), "id"), folder, "rare")
+    rare = stored(job.rare_shingles(large).join(placed.select("id", "n_shingles", "component"), "id"), folder, "rare")
     sizes = stored(rare.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), folder, "rare-sizes")
     hot = hot_keys(sizes, "key", "size")
     rare = stored(_open(split_join(rare, sizes, ["key"], "id", hot), hot), folder, "rare-open")
-    near = job.near(pairs.unionByName(_pairs(rare.where(F.col("size") <= SMALL_KEY))))
+    near = job.near(pairs.unionByName(_pairs(rare.where(F.col("size") <= SMALL_KEY), percent, "rank")))
     more = job.linked(near.unionByName(_blocks(rare.where(F.col("size") > SMALL_KEY), placed, percent)), "rest")
-    return job, components(links.unionByName(more), folder, "all")
+    return job, job.joined(placed.select("id", "component"), more)
 
 
 def _open(members: DataFrame, hot: DataFrame) -> DataFrame:
@@ -274,11 +288,15 @@ def _open(members: DataFrame, hot: DataFrame) -> DataFrame:
     return split_join(members, still, ["key"], "id", hot)
 
 
-def _pairs(few: DataFrame) -> DataFrame:
-    """a < b in different components of small keys."""
-    few = few.select("key", "id", "component")
-    other = few.select("key", F.col("id").alias("b"), F.col("component").alias("c"))
-    return few.join(other, "key").where("id < b and component <> c").select(F.col("id").alias("a"), "b").distinct()
+def _pairs(few: DataFrame, percent: int, rank: str | None = None) -> DataFrame:
+    """a < b in different components of small keys, of sizes that fit; ``rank``: the column with the key's place in the
+    order of each set's shingles, which bounds what two sets share as in ``_near_in_block``."""
+    few = few.select("key", "id", "component", "n_shingles", (F.col(rank) if rank else F.lit(1)).alias("rank"))
+    both = few.join(few.toDF("key", "b", "c", "m", "other"), "key").where("id < b and component <> c").where(_sizes_fit("n_shingles", "m", percent))
+    most = 1 + F.least(F.col("n_shingles") - F.col("rank"), F.col("m") - F.col("other"))
+    if rank:
+        both = both.where((100 + percent) * most >= percent * (F.col("n_shingles") + F.col("m")))
+    return both.select(F.col("id").alias("a"), "b").distinct()
 
 
 def _exploded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -306,6 +324,6 @@ def near_dedup(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) ->
     """doc_id, n_shingles, component_id, kept of each row of documents. Shingles have ``size`` words; documents link
     where 100 * intersection >= ``percent`` * union."""
     job, found = near_classes(docs, size, percent)
-    of_class = job.classes.join(found, "id", "left").select("name", F.coalesce("component", "id").alias("component_id"))
+    of_class = job.classes.join(found, "id").select("name", F.col("component").alias("component_id"))
     rows = job.signed.join(of_class, "name", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
     return rows.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))

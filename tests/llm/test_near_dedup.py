@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import common
 from gridloom.llm import near_dedup as nd
@@ -97,3 +98,28 @@ def test_components_of_a_long_chain(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 200), (200, 100)], "a long, b long")
     got = {r.id: r.component for r in components(links, nd.work_folder(spark, "t"), "c").collect()}
     assert got == {**dict.fromkeys(range(61), 0), 100: 100, 200: 100}
+
+
+def test_candidates_have_sizes_that_can_link(spark, monkeypatch):
+    """Long texts share keys with beginnings of theirs, which are too short to link; no join meets such pairs."""
+    rng = random.Random(5)
+    base = [str(rng.randrange(10**6)) for _ in range(120)]
+    rows = [(i, " ".join(base[: 120 - 20 * (i % 3)] + [f"end{i}"])) for i in range(40)]
+    met = []
+    both = nd._Job._both
+    monkeypatch.setattr(nd._Job, "_both", lambda self, pairs, *a: met.extend(map(tuple, pairs.distinct().collect())) or both(self, pairs, *a))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in nd.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = brute(rows)
+    assert got == want and met
+    assert all(100 * min(want[a][0], want[b][0]) >= 85 * max(want[a][0], want[b][0]) for a, b in met)
+
+
+@pytest.mark.parametrize("hot", [[], [3]])
+def test_hot_keys_are_told_without_a_join(spark, hot):
+    left = spark.createDataFrame([(i % 5, i) for i in range(50)], "k long, x long")
+    right = spark.createDataFrame([(k, 10 * k) for k in range(4)], "k long, y long")
+    key = common.hot_keys(left.where(F.col("k").isin(hot)).selectExpr("k", "1100L as n").distinct(), "k")
+    assert key == ("k", hot)
+    out = common.split_join(left, right, ["k"], "x", key, "left")
+    assert {tuple(r) for r in out.collect()} == {(i % 5, i, 10 * (i % 5) if i % 5 < 4 else None) for i in range(50)}
+    assert str(out._jdf.queryExecution().optimizedPlan()).count("Join ") == 1
