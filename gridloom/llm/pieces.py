@@ -72,6 +72,13 @@ class Cache(dict):
             self.clear()
         self[key] = value
 
+    def add(self, new: dict) -> None:
+        """Puts all of them, by one step for all; so a generation may exceed the limit by those of one call."""
+        if self and len(self) + len(new) > self.limit:
+            self.old = dict(self)
+            self.clear()
+        self.update(new)
+
 
 class PieceCodec:
     """Encoder and decoder of one SentencePiece model file."""

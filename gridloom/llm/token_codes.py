@@ -19,6 +19,7 @@ import struct
 import zlib
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -35,6 +36,8 @@ SEGMENT_IDS = 1 << 20
 MAGIC = b"DAC1"
 #: Chunks and cores whose ids are kept, each in two generations.
 CACHED = 400_000
+#: Kept runs of punctuation, and the bytes of UTF-8 texts below U+0180.
+STOPS, BELOW_0180 = 10_000, bytes(range(0xC6))
 SEGMENTS = "part int, segment int, ids_before long, n_docs long, n_ids long, doc_ids binary, ends binary, code binary"
 
 
@@ -109,8 +112,8 @@ class ChunkEncoder:
     """Ids of white-space chunks, as the library gives them, kept in a bounded cache.
 
     The vocabulary drops white space and joins nothing across it, and its normaliser acts within the chunks between
-    ASCII white space alone; so the ids of a text are those of its chunks. A comma or full stop after a letter or
-    number is a token of its own, and letters below U+0180 have the ids of their lower case; so the library sees each
+    ASCII white space alone; so the ids of a text are those of its chunks. ASCII punctuation that ends a chunk after a
+    letter or number is cut from it by the pattern, and letters below U+0180 have the ids of their lower case; so the library sees each
     such core once, and many new cores in one call.
     """
 
@@ -120,21 +123,24 @@ class ChunkEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs the tasks
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.own, self.lean = Tokenizer.from_file(tokenizer_file), Tokenizer.from_file(tokenizer_file)
-        self.lean.normalizer = None
-        self.lean.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.own = Tokenizer.from_file(tokenizer_file)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        #: The byte alphabet of each letter between U+0080 and U+017F.
+        self.alphabet = {c: byte_level.pre_tokenize_str(chr(c))[0][0] for c in range(0x80, 0x180)}
         self.type, self.code = ("<u2", "H") if self.own.get_vocab_size() <= 1 << 16 else ("<u4", "I")
         self.cores = Cache(lambda core: self._called([core])[0], CACHED)
         self.chunks = Cache(self._ids, CACHED)
-        self.stops = dict(zip(".,", self._called([".", ","]), strict=True))
+        self.stops = Cache(lambda stop: self._called([stop])[0], STOPS)
 
     def split(self, chunk: bytes) -> tuple[str, bytes]:
-        """The core that the library sees, and the ids of the stop after it."""
+        """The core that the library sees, and the ids of the punctuation after it."""
         text = chunk.decode()
-        if (text.isascii() or max(text) < "\u0180" and "\u0130" not in text) and "<|" not in text:
+        if not chunk.translate(None, BELOW_0180) and "\u0130" not in text and "<|" not in text:
             text = text.lower()
-            if text[-1] in self.stops and text[-2:-1].isalnum():
-                return text[:-1], self.stops[text[-1]]
+            if not text[-1].isalnum():
+                core = text.rstrip(punctuation)
+                if core and core[-1].isalnum():
+                    return core, self.stops[text[len(core) :]]
         return text, b""
 
     def _ids(self, chunk: bytes) -> bytes:
@@ -144,51 +150,64 @@ class ChunkEncoder:
     def _called(self, cores: list[str]) -> list[bytes]:
         """Words of lower-case letters are whole words to the pattern and the same after normalising: ASCII ones go to
         the library's model, others through its byte alphabet and model, all other cores through the whole tokenizer."""
-        out, model = [b""] * len(cores), self.own.model
-        letters, rest = [], []
+        out, code, tokenize = [b""] * len(cores), self.code, self.own.model.tokenize
+        rest = []
         for i, core in enumerate(cores):
-            if not core.isalpha() or core != core.lower() or max(core) >= "\u0180":
+            if not core.isalpha() or core != core.lower():
                 rest.append(i)
             elif core.isascii():
-                out[i] = array(self.code, [t.id for t in model.tokenize(core)]).tobytes()
+                out[i] = array(code, [t.id for t in tokenize(core)]).tobytes()
+            elif max(core) < "\u0180":
+                out[i] = array(code, [t.id for t in tokenize(core.translate(self.alphabet))]).tobytes()
             else:
-                letters.append(i)
-        for tokenizer, some in ((self.lean, letters), (self.own, rest)):
-            done = tokenizer.encode([cores[i] for i in some], is_pretokenized=True, add_special_tokens=False)
-            ids = array(self.code, done.ids).tobytes()
+                rest.append(i)
+        if rest:
+            done = self.own.encode([cores[i] for i in rest], is_pretokenized=True, add_special_tokens=False)
+            ids = array(code, done.ids).tobytes()
             width = len(ids) // max(1, len(done))
-            cut = (np.searchsorted(np.asarray(done.word_ids, np.int64), np.arange(len(some) + 1)) * width).tolist()
-            for i, start, stop in zip(some, cut[:-1], cut[1:], strict=True):
+            cut = (np.searchsorted(np.asarray(done.word_ids, np.int64), np.arange(len(rest) + 1)) * width).tolist()
+            for i, start, stop in zip(rest, cut[:-1], cut[1:], strict=True):
                 out[i] = ids[start:stop]
         return out
 
-    def learn(self, met: set[bytes]) -> None:
-        """Meets new chunks' cores in a few calls."""
+    def learn(self, met: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of these chunks alone: a table that is small enough to be fast. Meets new chunks' cores in a few calls."""
         kept, cores, split = self.chunks, self.cores, self.split
-        old, new = kept.old, []
-        for chunk in met:  # each is looked up: a set operation with the caches' keys would walk through all of these
-            if chunk in kept:
-                continue
+        old = kept.old
+        new: tuple[list, list, list] = ([], [], [])  # flat: a tuple for each would have the collector walk through the caches
+        known = dict(zip(met, map(kept.get, met), strict=True))  # looked up: a set operation would walk through all of the caches' keys
+        again = {}
+        for chunk in [chunk for chunk, ids in known.items() if ids is None]:
             ids = old.get(chunk)
             if ids is None:
-                new.append((chunk, *split(chunk)))
+                core, stop = split(chunk)
+                new[0].append(chunk)
+                new[1].append(core)
+                new[2].append(stop)
+            else:
+                again[chunk] = ids
+        before, of_core, todo = cores.old, {}, []
+        for core in set(new[1]):
+            ids = cores.get(core) or before.get(core)
+            if ids is None:
+                todo.append(core)
             else:
-                kept.put(chunk, ids)
-        before = cores.old
-        todo = [core for core in {core for _, core, _ in new} if core not in cores and core not in before]
+                of_core[core] = ids
         for at in range(0, len(todo), 2000):
             some = todo[at : at + 2000]
-            for core, ids in zip(some, self._called(some), strict=True):
-                cores.put(core, ids)
-        for chunk, core, stop in new:
-            kept.put(chunk, cores[core] + stop)
+            of_core.update(zip(some, self._called(some), strict=True))
+        for chunk, core, stop in zip(*new, strict=True):
+            again[chunk] = of_core[core] + stop
+        cores.add(of_core)
+        kept.add(again)
+        known.update(again)
+        return known
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         cut = [(t or "").encode().split() for t in texts]
         met: set[bytes] = set()
         met.update(*cut)
-        self.learn(met)
-        ids = self.chunks.__getitem__
+        ids = self.learn(met).__getitem__
         return [np.frombuffer(b"".join(map(ids, x)), self.type) for x in cut]
 
 

@@ -65,3 +65,19 @@ def test_learning_does_not_walk_through_the_caches(monkeypatch):
     want = [x.tolist() for x in own.encode(["One two, three.", "two four"])]
     monkeypatch.setattr(Cache, "keys", lambda self: 1 / 0, raising=False)
     assert [x.tolist() for x in own.encode(["One two, three.", "two four"])] == want and own.encode(["five"])[0].size
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab1é²½ŀ'.,*#_<|>-~$", min_size=1, max_size=9), max_size=20))
+def test_punctuation_after_words(words):
+    text = " ".join(words)
+    assert tc.encoder(FILE).encode([text])[0].tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+
+
+def test_punctuation_is_met_once():
+    """A word with other punctuation after it is no new core, and the library is not asked about it again."""
+    own = tc.ChunkEncoder(FILE)
+    own.encode(["word écrit"])
+    assert own.split(b"Word***") == ("word", own.stops["***"])
+    own._called = None
+    assert own.encode(["Word*** word"])[0].tolist() == LIBRARY.encode("Word*** word", add_special_tokens=False).ids
