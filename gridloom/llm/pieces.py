@@ -24,6 +24,7 @@ import re
 from array import array
 from collections.abc import Iterator
 from contextlib import contextmanager
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -94,6 +95,9 @@ class PieceCodec:
         special = [model.is_control(i) or model.is_unknown(i) or model.is_unused(i) for i in range(n)]
         self.byte_id = {int(pieces[i][3:-1], 16): i for i in range(n) if model.is_byte(i)}
         self.rank = {p: (-model.get_score(i), i) for i, p in enumerate(pieces) if not special[i] and not model.is_byte(i)}
+        #: The place of each piece in the order of merging; none has ``last``.
+        self.order = {p: k for k, p in enumerate(sorted(self.rank, key=self.rank.get))}
+        self.last = len(self.order)
         self.pieces = pieces
         self.surface = [b"" if special[i] else bytes([int(p[3:-1], 16)]) if model.is_byte(i) else p.replace(SPACE_MARK, " ").encode() for i, p in enumerate(pieces)]
         self.known = {p for p in self.rank if len(p) == 1}
@@ -127,13 +131,17 @@ class PieceCodec:
 
     def merged(self, text: str) -> list[int]:
         """Ids by running the merges: the lowest rank first, then the leftmost. For short texts."""
-        parts, rank = list(text), self.rank
-        while len(parts) > 1:
-            best = min(((rank[p][0], i) for i in range(len(parts) - 1) if (p := parts[i] + parts[i + 1]) in rank), default=None)
-            if best is None:
-                break
-            i = best[1]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        parts, rank, order, none = list(text), self.rank, self.order, self.last
+        get = order.get
+        joins = [get(x, none) for x in map(add, parts, parts[1:])]  # place of what each two neighbours would join to
+        while joins and (best := min(joins)) != none:
+            i = joins.index(best)
+            parts[i] += parts.pop(i + 1)
+            joins.pop(i)
+            if i:
+                joins[i - 1] = get(parts[i - 1] + parts[i], none)
+            if i < len(joins):
+                joins[i] = get(parts[i] + parts[i + 1], none)
         return [rank[p][1] if p in rank else -1 for p in parts]
 
     def _searched(self, text: str) -> list[int]:
@@ -191,15 +199,15 @@ class PieceCodec:
             return []
         units, kept, new = self.units, self._kept, {}
         found = self.unit.findall(SPACE_MARK + text.replace(" ", SPACE_MARK))
+        met = set(found)
+        known = dict(zip(met, map(units.get, met), strict=True))
         old = units.old
-        for u in set(found):
-            if u not in units:
-                new[u] = old.get(u) or kept(u)
-        out = [units[u] if u not in new else new[u] for u in found] if new else [units[u] for u in found]
-        for u, ids in new.items():
+        for u in [u for u, ids in known.items() if ids is None]:
+            known[u] = ids = old.get(u) or kept(u)
             if len(u) <= CACHED_CHARS:
-                units.put(u, ids)
-        return out
+                new[u] = ids
+        units.add(new)
+        return list(map(known.__getitem__, found))
 
     def forget(self) -> None:
         """Empties the caches, which refer back to this codec, so that its memory is free at once."""

@@ -61,3 +61,24 @@ def test_units_are_cut_between_letters_and_others():
     assert OWN.unit.findall("▁ab.▁²x") == ["▁ab", ".", "▁²", "x"]
     for text in ("ab². ²x.²", "²½.a², b²³"):
         assert OWN.encode(text).tolist() == LIBRARY.encode(text)
+
+
+def test_merging_makes_each_join_once(monkeypatch):
+    """The pairs of neighbours are not all looked up again after every merge, and the caches stay bounded."""
+    asked = []
+
+    class Counted(dict):
+        def get(self, key, default=None):
+            asked.append(key)
+            return super().get(key, default)
+
+    monkeypatch.setattr(OWN, "order", Counted(OWN.order))
+    text = "▁international" * 3
+    assert OWN.merged(text) == LIBRARY.encode("international" + " international" * 2)
+    assert 0 < len(asked) < 3 * len(text)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("aehnrstino", min_size=1, max_size=24))
+def test_merges_are_those_of_the_library(text):
+    assert OWN.merged("▁" + text) == LIBRARY.encode(text)
