@@ -68,6 +68,26 @@ def filled(cells: DataFrame, grid: DataFrame, dims: list[str], fill) -> DataFram
     return grid.join(cells, dims, "left").select(*dims, F.coalesce("value", F.lit(fill)).alias("value"))
 
 
+def spread(given: DataFrame, grid: DataFrame, dims: list[str], size: int, width: int, fill: Column, parts: int) -> DataFrame:
+    """Every cell of a grid of which few are given: ``dims`` and ``value``, with the fill value elsewhere.
+
+    ``grid`` has a row for each band of ``width`` cells of the last dimension, whose extent is ``size``: the other
+    dimensions and ``band``. Bands, their given cells and the runs between these are dealt to ``parts`` tasks; only then
+    are the runs spread out into cells, so nothing before that grows with the number of cells."""
+    *lead, last = dims
+    cell = F.struct(F.col(last).alias("a"), F.col("value").alias("v"))
+    own = given.select(*lead, (F.expr(f"`{last}` div {width}")).alias("band"), cell.alias("_cell"))
+    both = own.unionByName(grid.withColumn("_cell", F.lit(None).cast(own.schema["_cell"].dataType))).repartition(parts, *lead, "band")
+    held = both.groupBy(*lead, "band").agg(F.sort_array(F.collect_list("_cell")).alias("_held"))
+    low, high = F.col("band") * width, F.least((F.col("band") + 1) * width, F.lit(size).cast("long")) - 1
+    starts = F.concat(F.array(low), F.transform("_held", lambda x: x["a"] + 1))
+    stops = F.concat(F.transform("_held", lambda x: x["a"] - 1), F.array(high))
+    runs = F.filter(F.zip_with(starts, stops, lambda a, b: F.struct(a.alias("a"), b.alias("b"), fill.alias("v"))), lambda r: r["a"] <= r["b"])
+    ones = F.transform("_held", lambda x: F.struct(x["a"].alias("a"), x["a"].alias("b"), x["v"].alias("v")))
+    rows = held.select(*lead, F.explode(F.concat(ones, runs)).alias("_run"))
+    return rows.select(*lead, F.explode(F.sequence("_run.a", "_run.b")).alias(last), F.col("_run.v").alias("value"))
+
+
 def trimmed(values: Column, origin: Column, block_shape: Column, shape, fill) -> Column:
     """A block's values (C order) with the fill value in cells outside an array shape."""
 

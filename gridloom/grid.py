@@ -115,6 +115,18 @@ def grid_frame(spark: SparkSession, chunks, offset, shape) -> DataFrame:
     return spark.range(total).select(*rows)
 
 
+def packed(chunks, shape, most: int, cells: int) -> tuple[int, ...]:
+    """Chunks of whole multiples of these, doubled where the grid is longest until it has at most ``most`` chunks or a
+    chunk has ``cells`` cells: the number of chunks of a sparse array does not grow with the product of its extents."""
+    chunks = tuple(chunks)
+    counts = [-(-s // c) for s, c in zip(shape, chunks, strict=True)]
+    while math.prod(counts) > most and 2 * math.prod(chunks) <= cells:
+        k = counts.index(max(counts))
+        chunks = (*chunks[:k], 2 * chunks[k], *chunks[k + 1 :])
+        counts[k] = -(-counts[k] // 2)
+    return chunks
+
+
 def projected(grid: DataFrame, chunks, offset, shape) -> DataFrame:
     """Chunks of ``grid_frame`` with their overlap: chunk_offset, out_offset and extent as arrays."""
     n = len(chunks)

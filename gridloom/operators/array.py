@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import json
+import math
 from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..errors import GridError
-from ..functions.cells import all_equal
+from ..functions.cells import spread
 from ..grid import checked_selection, chunk_coords, copy_region, grid_frame, in_grid, projection
 from ..meta import ArraySpec, SpecBuilder
 from ..sources import chunks as ch
@@ -19,6 +21,10 @@ from ..sources.stores import FileStore, Handle, handle_for
 from .hierarchy import MARKERS, read_spec, write_spec
 
 
+#: Cells of the last dimension that lie in one row of a sparse grid until it is spread out.
+BAND = 1 << 16
+
+
 @dataclass(frozen=True)
 class Array:
     handle: Handle
@@ -92,21 +98,22 @@ class Array:
     def equal_blocks(self, spark: SparkSession, value, inner: bool = False) -> DataFrame:
         """c0, c1 ... and ``equal`` of every block (or inner chunk of the shards): whether all its cells equal a value.
 
-        Where that is the fill value, only what is stored is read; the blocks that are not come from the grid, a row of
-        which (all blocks that differ in the last coordinate alone) is one row until then."""
+        Where that is the fill value, only what is stored is read; the blocks that are not come from the grid, whose
+        rows hold many blocks until then."""
         size = self.spec.pipeline().sharded.inner.chunk if inner else self.spec.chunks
         names, sparse = [f"c{k}" for k in range(self.spec.ndim)], self.spec.ndim > 1 and bool(self.spec.fill == value)
-        blocks = self.blocks(spark, inner=inner, stored=sparse)
-        told = blocks.select(*(F.col("chunk_coords")[k].alias(c) for k, c in enumerate(names)), all_equal(F.col("values"), value).alias("equal"))
+        blocks = self._frame(spark, "equal", None, None, inner=inner, stored=sparse, value=json.dumps(value))
+        told = blocks.select(*(F.col("chunk_coords")[k].alias(c) for k, c in enumerate(names)), "equal")
         if not sparse:
             return told
-        others = told.where("not equal").groupBy(*names[:-1]).agg(F.collect_list(names[-1]).alias("others"))
-        shape = self.spec.shape
-        rows = grid_frame(spark, size[:-1], (0,) * (len(shape) - 1), shape[:-1]).join(others, names[:-1], "left")
-        others = F.coalesce("others", F.array().cast("array<long>"))
-        last = F.sequence(F.lit(0).cast("long"), F.lit(-(-shape[-1] // size[-1]) - 1).cast("long"))
-        rows = rows.select(*names[:-1], F.size(others).alias("_n"), F.posexplode(F.concat(others, F.array_except(last, others))).alias("_at", names[-1]))
-        return rows.select(*names, (F.col("_at") >= F.col("_n")).alias("equal"))
+        counts = tuple(-(-n // s) for n, s in zip(self.spec.shape, size, strict=True))
+        return self._spread(spark, told.where("not equal").withColumnRenamed("equal", "value"), names, counts, F.lit(True)).withColumnRenamed("value", "equal")
+
+    def _spread(self, spark: SparkSession, given: DataFrame, names: list[str], shape: tuple[int, ...], fill: Column) -> DataFrame:
+        """All cells of a grid, of which some are given."""
+        n = len(shape)
+        grid = grid_frame(spark, (*(1,) * (n - 1), BAND), (0,) * n, shape).toDF(*names[:-1], "band")
+        return spread(given, grid, names, shape[-1], BAND, fill, sink.parts_of(spark, math.prod(shape)))
 
     def read(self, offset=None, shape=None, spark: SparkSession | None = None) -> np.ndarray:
         """A cutout in memory; with a session its chunks are read and decoded by tasks."""

@@ -37,6 +37,31 @@ def stored_inner(handle: Handle, spec: ArraySpec, coords) -> tuple[np.ndarray, n
     return None if index is None else (index, shards.stored(index))
 
 
+def held(handle: Handle, spec: ArraySpec, coords) -> tuple[np.ndarray, np.ndarray] | None:
+    """Of a shard that is stored: which inner chunks it holds, in C order, and a row of cells for each."""
+    pipeline = spec.pipeline()
+    data = handle.read(spec.chunk_key(coords))
+    return None if data is None else shards.held(pipeline.sharded, pipeline.bytes_of(data))
+
+
+def takes_cells(spec: ArraySpec) -> bool:
+    """Whether a chunk is encoded from its few set cells, without the others."""
+    shard = spec.pipeline().sharded
+    return shard is not None and shards.takes_cells(shard)
+
+
+def encoded_cells(spec: ArraySpec, at: list[np.ndarray], values: np.ndarray) -> bytes | None:
+    """``encoded`` for a chunk of these cells, the others holding the fill value."""
+    some = np.flatnonzero(values != spec.fill)
+    if not len(some):
+        return None
+    shard, *raw = spec.pipeline().codecs
+    data = shards.encode_cells(shard, [x[some] for x in at], values[some])
+    for codec in raw:
+        data = codec.encode(data)
+    return data
+
+
 def encoded(spec: ArraySpec, array: np.ndarray) -> bytes | None:
     """A chunk's bytes; None where all cells hold the fill value, which is not stored."""
     pipeline = spec.pipeline()

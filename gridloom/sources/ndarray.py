@@ -7,17 +7,19 @@ are. Modes:
 
 * ``cells``: a column for each dimension, and ``value``;
 * ``blocks``: chunk_coords, origin, block_shape, values (in C order, of the part inside the array);
+* ``equal``: chunk_coords, equal: whether all values of the block equal the option ``value`` (JSON), told where it is read;
 * ``chunks``: chunk_coords, key, nbytes, payload; null payload for chunks that are not stored.
 
 Options ``offset`` and ``shape`` (comma-separated) select a cutout in any mode, ``coords=false`` leaves out the
 dimension columns, ``partition_bytes`` sets how many bytes of chunks (of rows, in mode ``cells``) a partition takes.
 ``stored=true`` leaves out blocks and chunks that are not stored and, of cells, those that hold the fill value: only
 stored chunks are looked at then, which folders tell by their listings. ``inner=true`` gives the inner chunks of shards
-as rows of ``blocks`` and ``chunks``, with coordinates and keys in their own grid; ``payload=false`` leaves payloads null.
+as rows of ``blocks``, ``equal`` and ``chunks``, with coordinates and keys in their own grid; ``payload=false`` leaves payloads null.
 """
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterator
 
@@ -27,7 +29,6 @@ from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
-from ..codecs import shards
 from ..errors import GridError
 from ..grid import checked_selection, chunk_box, unravel
 from ..meta import ArraySpec
@@ -49,6 +50,11 @@ def arrow_values(values: np.ndarray, spec: ArraySpec) -> pa.Array:
     return pa.array(np.ascontiguousarray(values.astype(kinds.get(spec.dtype, values.dtype), copy=False)))
 
 
+def equal_rows(rows: np.ndarray, value) -> np.ndarray:
+    """Of each row, whether all its cells equal a value; NaN equals nothing, and a float is no float32."""
+    return (rows == (np.float64(value) if isinstance(value, float) else value)).all(axis=1)
+
+
 def load_spec(handle: Handle, zarr_format: int | None = None) -> ArraySpec:
     from ..operators.hierarchy import read_spec
 
@@ -68,9 +74,9 @@ class Reader(DataSourceReader):
         self.mode, self.schema = options.get("mode", "cells"), schema
         self.bytes = int(options.get("partition_bytes", PARTITION_BYTES))
         self.stored, self.inner, self.payload = (options.get(k, d) == "true" for k, d in (("stored", "false"), ("inner", "false"), ("payload", "true")))
+        self.value = json.loads(options["value"]) if self.mode == "equal" else None
         if self.inner and (self.mode == "cells" or self.spec.pipeline().sharded is None):
             raise GridError("inner chunks are read as blocks or chunks, of arrays in shards")
-        self._places: tuple = (None, None)
         shape = self.spec.shape
         low = [int(x) for x in options["offset"].split(",") if x] if "offset" in options else [0] * len(shape)
         size = [int(x) for x in options["shape"].split(",") if x] if "shape" in options else [s - o for s, o in zip(shape, low, strict=True)]
@@ -126,20 +132,33 @@ class Reader(DataSourceReader):
         """The inner chunks of a shard that meet the selection."""
         spec, shard = self.spec, self.spec.pipeline().sharded
         size, counts = shard.inner.chunk, shard.counts
-        found = ch.stored_inner(self.handle, spec, coords)
+        total, index, rows = math.prod(counts), None, None
+        if self.mode == "chunks":
+            found = ch.stored_inner(self.handle, spec, coords)
+            index, held = found or (None, np.zeros(total, bool))
+            held = np.flatnonzero(held)
+        else:
+            found = ch.held(self.handle, spec, coords)
+            held, rows = found or (np.zeros(0, np.int64), np.zeros((0, math.prod(size)), spec.numpy_dtype))
         if found is None and self.stored:
             return
-        index, held = found or (None, np.zeros(math.prod(counts), bool))
-        own = np.stack(np.unravel_index(np.arange(len(held)), counts), axis=1) + np.asarray(coords) * counts
+        looked = held if self.stored else np.arange(total)
+        own = np.stack(np.unravel_index(looked, counts), axis=1) + np.asarray(coords) * counts
         at, end = np.maximum(own * size, self.low), np.minimum((own + 1) * size, self.high)
-        wanted = np.flatnonzero((at < end).all(axis=1) & (held | (not self.stored)))
+        wanted = np.flatnonzero((at < end).all(axis=1))
         for a in range(0, len(wanted), max(1, BATCH // math.prod(size))):
             some = wanted[a : a + max(1, BATCH // math.prod(size))]
-            places = [_lists(own[some], pa.int64())]
+            places, here = [_lists(own[some], pa.int64())], looked[some]
             if self.mode == "chunks":
-                yield self._batch([*places, *self._inner_chunks(coords, own[some], None if index is None else index[some], held[some])])
-            else:
-                yield self._batch([*places, _lists(at[some], pa.int64()), _lists((end - at)[some], pa.int32()), self._inner_values(coords, found, some, own[some], at[some], end[some])])
+                yield self._batch([*places, *self._inner_chunks(coords, own[some], None if index is None else index[here], np.isin(here, held))])
+                continue
+            values = self._cut(_taken(here, held, rows, spec.fill), own[some], at[some], end[some])
+            if self.mode == "equal":
+                yield self._batch([*places, pa.array(equal_rows(values, self.value) if isinstance(values, np.ndarray) else np.array([equal_rows(v[None], self.value)[0] for v in values], bool))])
+                continue
+            ends = np.arange(len(some) + 1) * math.prod(size) if isinstance(values, np.ndarray) else np.concatenate(([0], np.cumsum([len(v) for v in values])))
+            flat = arrow_values(values.ravel() if isinstance(values, np.ndarray) else np.concatenate(values), spec)
+            yield self._batch([*places, _lists(at[some], pa.int64()), _lists((end - at)[some], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)])
 
     def _inner_chunks(self, coords, own, index, held) -> list[pa.Array]:
         keys = pa.array([self.spec.chunk_key(x) for x in own.tolist()], pa.string())
@@ -150,21 +169,28 @@ class Reader(DataSourceReader):
         sizes = np.zeros(len(own), np.int64) if index is None else index[:, 1].astype(np.int64)
         return [keys, pa.array(sizes, pa.int64(), mask=~held), pa.array(data, pa.binary())]
 
-    def _inner_values(self, coords, found, some, own, at, end) -> pa.Array:
-        shard = self.spec.pipeline().sharded
-        size, (loaded, rows) = shard.inner.chunk, self._places
-        if loaded != coords:
-            chunk = np.full(self.spec.chunks, self.spec.fill, self.spec.numpy_dtype) if found is None else ch.read_chunk(self.handle, self.spec, coords)
-            rows = shards.rows_of(chunk, shard.counts, size)
-            self._places = coords, rows
+    def _cut(self, rows: np.ndarray, own, at, end) -> np.ndarray | list[np.ndarray]:
+        """The cells of inner chunks inside the selection: as they are where all of them are, else each cut by itself."""
+        size = self.spec.pipeline().sharded.inner.chunk
         if (end - at == size).all():
-            flat = [rows[some].ravel()]
-            ends = np.arange(len(some) + 1) * math.prod(size)
-        else:
-            cuts = [tuple(slice(a - o * s, b - o * s) for a, b, o, s in zip(*x, size, strict=True)) for x in zip(at.tolist(), end.tolist(), own.tolist(), strict=True)]
-            flat = [rows[i].reshape(size)[cut].ravel() for i, cut in zip(some.tolist(), cuts, strict=True)]
-            ends = np.concatenate(([0], np.cumsum([len(x) for x in flat])))
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), arrow_values(np.concatenate(flat), self.spec))
+            return rows
+        cuts = [tuple(slice(a - o * s, b - o * s) for a, b, o, s in zip(*x, size, strict=True)) for x in zip(at.tolist(), end.tolist(), own.tolist(), strict=True)]
+        return [row.reshape(size)[cut].ravel() for row, cut in zip(rows, cuts, strict=True)]
+
+    def _shard_cells(self, coords) -> Iterator[pa.RecordBatch]:
+        """Cells of a shard that differ from the fill value, from the inner chunks it holds alone."""
+        spec, shard = self.spec, self.spec.pipeline().sharded
+        if (found := ch.held(self.handle, spec, coords)) is None:
+            return
+        held, rows = found
+        row, within = np.nonzero(rows != spec.fill)
+        values = rows[row, within]
+        inner, cell = np.unravel_index(held[row], shard.counts), np.unravel_index(within, shard.inner.chunk)
+        at = [o * c + i * s + x for o, c, i, s, x in zip(coords, spec.chunks, inner, shard.inner.chunk, cell, strict=True)]
+        inside = np.flatnonzero(np.logical_and.reduce([(x >= lo) & (x < hi) for x, lo, hi in zip(at, self.low, self.high, strict=True)]))
+        for a in range(0, len(inside), BATCH):
+            some = inside[a : a + BATCH]
+            yield self._batch([*(pa.array(x[some]) for x in at if len(self.schema) > 1), arrow_values(values[some], spec)])
 
     def _rows(self, coords) -> Iterator[pa.RecordBatch]:
         spec = self.spec
@@ -174,6 +200,9 @@ class Reader(DataSourceReader):
                 sent = data if self.payload else None
                 yield self._batch([pa.array([coords], pa.list_(pa.int64())), pa.array([spec.chunk_key(coords)]), pa.array([None if data is None else len(data)], pa.int64()), pa.array([sent], pa.binary())])
             return
+        if self.mode == "cells" and self.stored and spec.ndim and ch.takes_cells(spec) and spec.pipeline().shard is None:
+            yield from self._shard_cells(coords)
+            return
         origin = [x * c for x, c in zip(coords, spec.chunks, strict=True)]
         start = [max(lo, o) - o for lo, o in zip(self.low, origin, strict=True)]
         stop = [min(hi, o + c) - o for hi, o, c in zip(self.high, origin, spec.chunks, strict=True)]
@@ -184,6 +213,9 @@ class Reader(DataSourceReader):
             return
         values = np.full(shape, spec.fill, spec.numpy_dtype) if chunk is None else chunk[wanted]
         at = [o + a for o, a in zip(origin, start, strict=True)]
+        if self.mode == "equal":
+            yield self._batch([pa.array([coords], pa.list_(pa.int64())), pa.array(equal_rows(values.reshape(1, -1), self.value))])
+            return
         if self.mode == "blocks":
             flat = arrow_values(values.ravel(), spec)
             yield self._batch([pa.array([coords], pa.list_(pa.int64())), pa.array([at], pa.list_(pa.int64())), pa.array([shape], pa.list_(pa.int32())), pa.ListArray.from_arrays(pa.array([0, len(flat)], pa.int32()), flat)])
@@ -204,6 +236,16 @@ def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel(), kind))
 
 
+def _taken(which: np.ndarray, held: np.ndarray, rows: np.ndarray, fill) -> np.ndarray:
+    """Rows of some inner chunks, of which ``held`` are stored."""
+    out = np.full((len(which), rows.shape[1]), fill, rows.dtype)
+    if len(held):
+        at = np.minimum(np.searchsorted(held, which), len(held) - 1)
+        hit = held[at] == which
+        out[hit] = rows[at[hit]]
+    return out
+
+
 class NdArraySource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -222,6 +264,8 @@ def schema_of(spec: ArraySpec, mode: str, coords: bool = True) -> T.StructType:
     longs = T.ArrayType(T.LongType())
     if mode == "chunks":
         return T.StructType().add("chunk_coords", longs).add("key", T.StringType()).add("nbytes", T.LongType()).add("payload", T.BinaryType())
+    if mode == "equal":
+        return T.StructType().add("chunk_coords", longs).add("equal", T.BooleanType())
     if mode == "blocks":
         return T.StructType().add("chunk_coords", longs).add("origin", longs).add("block_shape", T.ArrayType(T.IntegerType())).add("values", T.ArrayType(spec.spark_type))
     if mode != "cells":

@@ -1,7 +1,8 @@
 """Writing frames of cells or blocks into an array, one task per chunk.
 
-Repeated cells are combined, then cells are shuffled by chunk; a chunk is written by one task, so nothing is locked. A chunk whose cells are all
+Repeated cells are combined, then cells are shuffled and sorted by chunk; a chunk is written by one task, so nothing is locked. A chunk whose cells are all
 given replaces the stored one, any other is read, overlaid and written; one that holds only the fill value is deleted.
+A shard of few cells that is not stored yet is encoded from these alone.
 A task that is run again writes the same bytes. Blocks are whole chunks and are not shuffled at all.
 """
 
@@ -59,12 +60,51 @@ def parts_of(spark, cells: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_PARTS, -(-cells // PART_CELLS)))
 
 
+#: A shard is spread out in memory from one cell in so many on.
+FEW = 8
+
+
+class _Chunk:
+    """Cells of one chunk as they come: few of a shard are kept as they are, others lie in the whole chunk."""
+
+    def __init__(self, spec: ArraySpec, coords: tuple[int, ...]):
+        self.spec, self.coords, self.few, self.n, self.whole = spec, coords, [], 0, None
+
+    def add(self, at: list[np.ndarray], values: np.ndarray) -> None:
+        self.few.append((at, values))
+        self.n += len(values)
+        if self.whole is not None or self.n * FEW > self.spec.chunk_size or not ch.takes_cells(self.spec):
+            self._spread()
+
+    def _spread(self) -> None:
+        spec = self.spec
+        if self.whole is None:
+            self.whole = np.full(spec.chunks, spec.fill, spec.numpy_dtype), np.zeros(spec.chunk_size, bool)
+        for at, values in self.few:
+            flat = np.ravel_multi_index(at, spec.chunks) if spec.ndim else np.zeros(len(values), np.int64)
+            self.whole[0].reshape(-1)[flat] = values
+            self.whole[1][flat] = True
+        self.few = []
+
+    def encoded(self, handle: Handle) -> bytes | None:
+        spec = self.spec
+        if self.whole is None:
+            if not handle.exists(spec.chunk_key(self.coords)):
+                at = [np.concatenate(x) for x in zip(*(at for at, _ in self.few), strict=True)]
+                return ch.encoded_cells(spec, at, np.concatenate([v for _, v in self.few]))
+            self._spread()
+        chunk, seen = self.whole
+        if not seen.all() and (old := ch.read_chunk(handle, spec, self.coords)) is not None:
+            chunk = np.where(seen.reshape(spec.chunks), chunk, old)
+        return ch.encoded(spec, chunk)
+
+
 def write_cells(handle: Handle, spec: ArraySpec, cells: DataFrame, value: str = "value", whole: bool = False) -> tuple[int, int]:
     """Of rows with a column for each dimension and a value; of repeated cells the one with the largest value stays.
     Null values become the fill value. Rows with a coordinate that is null or outside the array raise, before any
     chunk is written: that is checked ahead of a shuffle. A frame that fills the array (``whole``) is shuffled
     once, by chunk, to as many tasks as the array's size asks for, and repeated cells are combined there; any other is
-    combined ahead of the shuffle by chunk. In Python a task holds one chunk and one batch of its cells."""
+    combined ahead of the shuffle by chunk. In Python a task holds one chunk and one batch of cells."""
     n = spec.ndim
     fill = F.lit(Decimal(int(spec.fill)) if spec.dtype == "uint64" else spec.fill.item()).cast(spec.spark_type)
 
@@ -79,25 +119,39 @@ def write_cells(handle: Handle, spec: ArraySpec, cells: DataFrame, value: str =
         own = own.groupBy(*dims).agg(F.max("_v").alias("_v")).where("_v is not null")
     own = own.select("*", *(chunk_of(F.col(f"_x{k}"), spec.chunks[k]).alias(f"_c{k}") for k in range(n)))
 
-    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coords = tuple(k.as_py() for k in key)
-        chunk, seen = np.full(spec.chunks, spec.fill, spec.numpy_dtype), np.zeros(spec.chunk_size, bool)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of rows in which those of a chunk follow each other."""
+        chunk = None
+
+        def written() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(_row(handle, spec.chunk_key(chunk.coords), chunk.encoded(handle)), ["key", "stored", "payload"])
+
         for rows in batches:
-            at = [rows.column(k).to_numpy() - coords[k] * spec.chunks[k] for k in range(n)]
-            values = numpy_values(rows.column(n), spec)
-            flat = np.ravel_multi_index(at, spec.chunks) if n else np.zeros(len(values), np.int64)
-            chunk.reshape(-1)[flat] = values
-            seen[flat] = True
-        if not seen.any():
-            return
-        if not seen.all() and (old := ch.read_chunk(handle, spec, coords)) is not None:
-            chunk = np.where(seen.reshape(spec.chunks), chunk, old)
-        yield pa.RecordBatch.from_arrays(_row(handle, spec.chunk_key(coords), ch.encoded(spec, chunk)), ["key", "stored", "payload"])
+            if not rows.num_rows:
+                continue
+            places = [rows.column(k).to_numpy() for k in range(n)]
+            own = [x // c for x, c in zip(places, spec.chunks, strict=True)]
+            values, new = numpy_values(rows.column(n), spec), np.zeros(max(0, rows.num_rows - 1), bool)
+            for c in own:
+                new |= c[1:] != c[:-1]
+            cuts = [0, *(np.flatnonzero(new) + 1).tolist(), rows.num_rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                coords = tuple(int(c[a]) for c in own)
+                if chunk is None or chunk.coords != coords:
+                    if chunk is not None:
+                        yield written()
+                    chunk = _Chunk(spec, coords)
+                chunk.add([x[a:b] - o * c for x, o, c in zip(places, coords, spec.chunks, strict=True)], values[a:b])
+        if chunk is not None:
+            yield written()
 
     if whole and n:
         own = own.repartition(parts_of(own.sparkSession, math.prod(spec.shape)), *by)
-        own = own.groupBy(*by, *dims).agg(F.max("_v").alias("_v")).select(*dims, "_v", *by)
-    return _finished(handle, own.groupBy(*by).applyInArrow(run, WRITTEN))
+        own = own.groupBy(*by, *dims).agg(F.max("_v").alias("_v"))
+    else:
+        own = own.repartition(*by) if n else own.repartition(1)
+    own = own.sortWithinPartitions(*by) if n else own
+    return _finished(handle, own.select(*dims, "_v").mapInArrow(run, WRITTEN))
 
 
 def write_blocks(handle: Handle, spec: ArraySpec, blocks: DataFrame) -> tuple[int, int]:

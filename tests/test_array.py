@@ -1,4 +1,5 @@
 import json
+from decimal import Decimal
 
 import numpy as np
 import pytest
@@ -6,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.__main__ import main
 from gridloom.errors import GridError, MissingNode
+from gridloom.functions import cells as fc
 from gridloom.meta import DTYPES, ArraySpec, SpecBuilder
 from gridloom.operators.array import Array
 from gridloom.operators.hierarchy import Group, nodes, open_node
@@ -287,3 +289,43 @@ def test_many_cells_are_dealt_to_many_tasks(spark, tmp_path):
     assert sink.parts_of(spark, 10) == 4 and sink.parts_of(spark, 100 * sink.PART_CELLS) == 100 and sink.parts_of(spark, 1 << 60) == sink.MOST_PARTS
     array = Array.create(str(tmp_path), spec("float64", shape=(1 << 26,), chunks=(1 << 20,)))
     assert array.cells(spark).rdd.getNumPartitions() == 16
+
+
+def test_a_shard_costs_its_cells_not_its_extent(spark, tmp_path):
+    """Shards of 2^40 cells, which no task could hold as a whole, are written, read and compared by their few cells."""
+    codec = sharding([1 << 10, 1 << 10], [BYTES])
+    codec["configuration"]["index_codecs"] = [BYTES]
+    array = Array.create(str(tmp_path), spec("uint8", (1 << 20, 1 << 21), (1 << 20, 1 << 20), codecs=(codec, {"name": "zstd"})))
+    want = {(3, 5, 7), (1 << 19, 9, 8), (5, (1 << 20) + 1, 9), (6, (1 << 21) - 1, 1)}
+    assert array.write_cells(spark.createDataFrame([*want, (0, 0, 0)], "d0 long, d1 long, value int")) == (2, 0)
+    assert {tuple(r) for r in array.cells(spark, stored=True).collect()} == want
+    told = array.equal_blocks(spark, 0, inner=True)
+    assert {(r.c0, r.c1) for r in told.where("not equal").collect()} == {(a >> 10, b >> 10) for a, b, _ in want} and told.distinct().count() == 1 << 21
+
+
+@pytest.mark.parametrize("fill", [0, 5])
+def test_shards_of_few_cells_are_as_those_of_whole_arrays(spark, tmp_path, fill):
+    codecs = [sharding([4, 4], [BYTES]), {"name": "zstd"}]
+    array, data = sparse(spark, tmp_path / "a", codecs, fill)
+    other = Array.create(str(tmp_path / "b"), array.spec)
+    some = [(int(a), int(b), int(data[a, b])) for a, b in np.argwhere(data != fill)]
+    assert other.write_cells(spark.createDataFrame([*some, (8, 40, fill)], "d0 long, d1 long, value long"), whole=True) == (4, 1)
+    assert other.handle.list() == array.handle.list() and all(other.handle.read(k) == array.handle.read(k) for k in array.handle.list())
+    other.write_cells(spark.createDataFrame([(1, 1, 30), (3, 9, fill)], "d0 long, d1 long, value long"))
+    data[1, 1], data[3, 9] = 30, fill
+    assert (other.read() == data).all() and other.cells(spark, stored=True).count() == 4
+
+
+@pytest.mark.parametrize("dtype, values, against", [("float32", [0.1, 0.0, np.nan], (0.1, 0.0, float("nan"))), ("uint64", [0, 1 << 63, 3], (0, 1 << 63, -1)), ("bool", [True, False, False], (True, False)), ("float64", [0.5, 0.0, -0.0], (0.5, 0.0))])
+def test_equal_blocks_of_every_type(spark, tmp_path, dtype, values, against):
+    """Against the rule in columns, on blocks and inner chunks, with cells left beyond the edge."""
+    for inner, codecs in ((False, (BYTES,)), (True, (sharding([2, 3], [BYTES]),))):
+        array = Array.create(f"{tmp_path}/{inner}", spec(dtype, (7, 11), (4, 6), codecs=codecs))
+        data = np.zeros((7, 11), array.spec.numpy_dtype)
+        data[:4, 2:6], data[3, 10], data[6, 6:], data[5, 0] = values[0], values[1], values[0], values[2]
+        array.write(data)
+        array = array.resize((6, 10))
+        for value in against:
+            rows = array.blocks(spark, inner=inner).select("chunk_coords", fc.all_equal(F.col("values"), value if dtype != "uint64" else Decimal(value)).alias("equal"))
+            told = array.equal_blocks(spark, value, inner=inner).collect()
+            assert {(r.c0, r.c1, r.equal) for r in told} == {(*r.chunk_coords, r.equal) for r in rows.collect()} and len(told) == rows.count()
