@@ -329,3 +329,23 @@ def test_equal_blocks_of_every_type(spark, tmp_path, dtype, values, against):
             rows = array.blocks(spark, inner=inner).select("chunk_coords", fc.all_equal(F.col("values"), value if dtype != "uint64" else Decimal(value)).alias("equal"))
             told = array.equal_blocks(spark, value, inner=inner).collect()
             assert {(r.c0, r.c1, r.equal) for r in told} == {(*r.chunk_coords, r.equal) for r in rows.collect()} and len(told) == rows.count()
+
+
+@pytest.mark.parametrize("dtype, fill", [("float64", 0.5), ("float64", float("nan")), ("uint64", 3), ("bool", True)])
+def test_filled_cells_are_all_cells(spark, tmp_path, monkeypatch, dtype, fill):
+    """Equal to what a scan gives, also where bands of the last dimension are narrow, and where nothing is stored."""
+    monkeypatch.setattr("gridloom.operators.array.BAND", 4)
+    for codecs in ((BYTES,), (sharding([2, 3, 2], [BYTES]), {"name": "zstd"})):
+        array = Array.create(f"{tmp_path}/{len(codecs)}", spec(dtype, (5, 3, 11), (4, 3, 6), codecs=codecs, fill_value=fill if fill == fill else "NaN"))
+        assert array.filled_cells(spark).count() == 165
+        array.write_cells(spark.createDataFrame([(0, 0, 0), (0, 0, 1), (0, 0, 10), (4, 2, 3), (4, 2, 4)], "d0 long, d1 long, d2 long").selectExpr("*", "d2 = 3 AS value" if dtype == "bool" else "d2 + 7 AS value"))
+        one, two = array.filled_cells(spark), array.cells(spark)
+        assert one.dtypes == two.dtypes and fc.same_cells(one, two).first().same
+
+
+def test_fill_of_a_large_grid_is_not_scanned(spark, tmp_path):
+    """Rows of 2^28 cells, two of which are set, come from their bands in seconds, and no task holds a chunk of that size."""
+    array = Array.create(str(tmp_path), spec("float64", (2, 1 << 28), (1, 1 << 28), codecs=(sharding([1, 1 << 10], [BYTES]), {"name": "zstd"})))
+    array.write_cells(spark.createDataFrame([(1, 5, 2.0), (1, (1 << 28) - 1, 3.0)], "d0 long, d1 long, value double"))
+    got = array.filled_cells(spark).where("value <> 0 OR (d0 = 1 AND d1 BETWEEN 3 AND 7)").collect()
+    assert {tuple(r) for r in got} == {(1, 3, 0.0), (1, 4, 0.0), (1, 5, 2.0), (1, 6, 0.0), (1, 7, 0.0), (1, (1 << 28) - 1, 3.0)}
