@@ -174,8 +174,8 @@ class Array:
             blocks = spark.createDataFrame(pa.table(columns, schema=kinds))
             self.write_blocks(blocks.repartition(min(len(rows), spark.sparkContext.defaultParallelism * 4)) if parallel else blocks.coalesce(1))
 
-    def write_cells(self, cells: DataFrame, value: str = "value", whole: bool = False) -> tuple[int, int]:
-        return sink.write_cells(self.handle, self.spec, cells, value, whole)
+    def write_cells(self, cells: DataFrame, value: str = "value", whole: bool = False, combine=None) -> tuple[int, int]:
+        return sink.write_cells(self.handle, self.spec, cells, value, whole, combine)
 
     def write_blocks(self, blocks: DataFrame) -> tuple[int, int]:
         return sink.write_blocks(self.handle, self.spec, blocks)

@@ -48,8 +48,8 @@ def _cells(spark: SparkSession, sf_dir: str, what: str) -> DataFrame:
         return table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("d0"), F.posexplode("embedding").alias("d1", "value"))
     if what == "P":
         return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("d0"), F.col("o_totalprice").alias("value"))
-    if what == "Q":
-        return table(spark, sf_dir, "lineitem").groupBy(F.col("l_partkey").alias("d0"), F.col("l_suppkey").alias("d1")).agg(F.sum("l_quantity").alias("value"))
+    if what == "Q":  # of repeated cells the sum
+        return table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("d0"), F.col("l_suppkey").alias("d1"), F.col("l_quantity").alias("value"))
     if what == "S":
         return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("d0"), F.col("p_size").alias("value"))
     if what == "V":
@@ -74,7 +74,7 @@ def _made(spark: SparkSession, sf_dir: str, what: str, chunks: tuple, version: i
     for method, args in options:
         build = getattr(build, method)(*args) if not isinstance(args, dict) else getattr(build, method)(**args)
     path = f"{work_folder(spark, f'array-{what}')}/array"
-    Array.create(path, build).write_cells(_cells(spark, sf_dir, what), whole=True)
+    Array.create(path, build).write_cells(_cells(spark, sf_dir, what), whole=True, combine=F.sum if what == "Q" else None)
     return path
 
 

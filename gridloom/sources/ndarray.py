@@ -25,6 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
@@ -161,13 +162,13 @@ class Reader(DataSourceReader):
             yield self._batch([*places, _lists(at[some], pa.int64()), _lists((end - at)[some], pa.int32()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)])
 
     def _inner_chunks(self, coords, own, index, held) -> list[pa.Array]:
-        keys = pa.array([self.spec.chunk_key(x) for x in own.tolist()], pa.string())
-        data = [None] * len(own)
+        keys = _keys(own, self.spec)
+        data = [None] * len(own) if self.payload else pa.nulls(len(own), pa.binary())
         if self.payload and index is not None:
             whole = self.spec.pipeline().bytes_of(self.handle.read(self.spec.chunk_key(coords)))
             data = [whole[a : a + n] if h else None for (a, n), h in zip(index.tolist(), held.tolist(), strict=True)]
         sizes = np.zeros(len(own), np.int64) if index is None else index[:, 1].astype(np.int64)
-        return [keys, pa.array(sizes, pa.int64(), mask=~held), pa.array(data, pa.binary())]
+        return [keys, pa.array(sizes, pa.int64(), mask=~held), data if not self.payload else pa.array(data, pa.binary())]
 
     def _cut(self, rows: np.ndarray, own, at, end) -> np.ndarray | list[np.ndarray]:
         """The cells of inner chunks inside the selection: as they are where all of them are, else each cut by itself."""
@@ -236,6 +237,13 @@ def _lists(rows: np.ndarray, kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(np.ascontiguousarray(rows).ravel(), kind))
 
 
+def _keys(coords: np.ndarray, spec: ArraySpec) -> pa.Array:
+    """Keys of many chunks."""
+    lead = ["c"] if spec.zarr_format == 3 and spec.key_encoding == "default" else []
+    parts = [*lead, *(pc.cast(pa.array(np.ascontiguousarray(x)), pa.string()) for x in coords.T)]
+    return pc.binary_join_element_wise(*parts, spec.separator)
+
+
 def _taken(which: np.ndarray, held: np.ndarray, rows: np.ndarray, fill) -> np.ndarray:
     """Rows of some inner chunks, of which ``held`` are stored."""
     out = np.full((len(which), rows.shape[1]), fill, rows.dtype)

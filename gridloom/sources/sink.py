@@ -9,7 +9,7 @@ A task that is run again writes the same bytes. Blocks are whole chunks and are
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from decimal import Decimal
 
 import numpy as np
@@ -103,9 +103,9 @@ class _Chunk:
         return ch.encoded(spec, chunk)
 
 
-def write_cells(handle: Handle, spec: ArraySpec, cells: DataFrame, value: str = "value", whole: bool = False) -> tuple[int, int]:
-    """Of rows with a column for each dimension and a value; of repeated cells the one with the largest value stays.
-    Null values become the fill value. Rows with a coordinate that is null or outside the array raise, before any
+def write_cells(handle: Handle, spec: ArraySpec, cells: DataFrame, value: str = "value", whole: bool = False, combine: Callable[[Column], Column] | None = None) -> tuple[int, int]:
+    """Of rows with a column for each dimension and a value; of repeated cells the one with the largest value stays, or
+    what ``combine`` (an aggregate function) makes of their values. Null values become the fill value. Rows with a coordinate that is null or outside the array raise, before any
     chunk is written: that is checked ahead of a shuffle. A frame that fills the array (``whole``) is shuffled
     once, by chunk, to as many tasks as the array's size asks for, and repeated cells are combined there; any other is
     combined ahead of the shuffle by chunk. In Python a task holds one chunk and one batch of cells."""
@@ -117,11 +117,12 @@ def write_cells(handle: Handle, spec: ArraySpec, cells: DataFrame, value: str =
         error = F.raise_error(F.concat(F.lit(f"a cell outside the array of shape {tuple(spec.shape)}: {spec.dims[k]} = "), F.coalesce(x.cast("string"), F.lit("null"))))
         return F.when((x >= 0) & (x < spec.shape[k]), x).otherwise(error.cast("long"))
 
-    own = cells.select(*(inside(k).alias(f"_x{k}") for k in range(n)), F.coalesce(F.col(value).cast(spec.spark_type), fill).alias("_v"))
+    own = cells.select(*(inside(k).alias(f"_x{k}") for k in range(n)), (F.coalesce(F.col(value).cast(spec.spark_type), fill) if combine is None else F.col(value)).alias("_v"))
+    combined = F.max("_v") if combine is None else F.coalesce(combine(F.col("_v")).cast(spec.spark_type), fill)
     by, dims = [f"_c{k}" for k in range(n)], [f"_x{k}" for k in range(n)]
     if not (whole and n):
-        own = own.groupBy(*dims).agg(F.max("_v").alias("_v")).where("_v is not null")
-    own = own.select("*", *(chunk_of(F.col(f"_x{k}"), spec.chunks[k]).alias(f"_c{k}") for k in range(n)))
+        own = (own.groupBy(*dims) if n else own.groupBy(F.lit(0))).agg(combined.alias("_v")).select(*dims, "_v")
+    chunk = [chunk_of(F.col(x), c) for x, c in zip(dims, spec.chunks, strict=True)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in which those of a chunk follow each other."""
@@ -150,10 +151,11 @@ def write_cells(handle: Handle, spec: ArraySpec, cells: DataFrame, value: str =
             yield written()
 
     if whole and n:
-        own = own.repartition(parts_of(own.sparkSession, math.prod(spec.shape)), *by)
-        own = own.groupBy(*by, *dims).agg(F.max("_v").alias("_v"))
+        own = own.repartition(parts_of(own.sparkSession, math.prod(spec.shape)), *chunk)
+        own = own.select("*", *(c.alias(name) for c, name in zip(chunk, by, strict=True))).groupBy(*by, *dims).agg(combined.alias("_v"))
     else:
-        own = own.repartition(*by) if n else own.repartition(1)
+        own = own.repartition(*chunk) if n else own.repartition(1)
+        own = own.select("*", *(c.alias(name) for c, name in zip(chunk, by, strict=True)))
     own = own.sortWithinPartitions(*by) if n else own
     return _finished(handle, own.select(*dims, "_v").mapInArrow(run, WRITTEN))
 

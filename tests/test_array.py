@@ -349,3 +349,28 @@ def test_fill_of_a_large_grid_is_not_scanned(spark, tmp_path):
     array.write_cells(spark.createDataFrame([(1, 5, 2.0), (1, (1 << 28) - 1, 3.0)], "d0 long, d1 long, value double"))
     got = array.filled_cells(spark).where("value <> 0 OR (d0 = 1 AND d1 BETWEEN 3 AND 7)").collect()
     assert {tuple(r) for r in got} == {(1, 3, 0.0), (1, 4, 0.0), (1, 5, 2.0), (1, 6, 0.0), (1, 7, 0.0), (1, (1 << 28) - 1, 3.0)}
+
+
+def test_repeated_cells_are_summed_in_the_one_shuffle(spark, tmp_path, monkeypatch):
+    """Sums of repeated cells need no shuffle of their own ahead of that by chunk; both ways of writing give them."""
+    seen = []
+    monkeypatch.setattr(sink, "_finished", lambda handle, done, own=sink._finished: seen.append(done._jdf.queryExecution().executedPlan().toString()) or own(handle, done))
+    rows = spark.range(6000).selectExpr("id % 20 AS d0", "id % 30 AS d1", "IF(id % 60 = 7, NULL, id) AS value")
+    want = np.zeros((20, 30))
+    for i in range(6000):
+        want[i % 20, i % 30] += i * (i % 60 != 7)
+    for whole in (True, False):
+        array = Array.create(f"{tmp_path}/{whole}", spec("float64", (20, 30), (8, 8), codecs=(sharding([2, 4], [BYTES]), {"name": "zstd"})))
+        array.write_cells(rows, whole=whole, combine=F.sum)
+        assert (array.read() == want).all()
+    assert seen[0].count("Exchange") == 1
+
+
+def test_keys_of_inner_chunks_in_bulk(spark, tmp_path):
+    """Keys are made as columns, not one by one, and as ``chunk_key`` makes them."""
+    from gridloom.sources import ndarray
+
+    coords = np.array([[0, 0, 0], [12, 3, 1 << 40]])
+    for more in ({}, {"separator": "."}, {"key_encoding": "v2", "separator": "."}):
+        own = spec(**more)
+        assert ndarray._keys(coords, own).to_pylist() == [own.chunk_key(c) for c in coords.tolist()]
