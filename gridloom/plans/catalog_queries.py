@@ -83,17 +83,13 @@ def array(spark: SparkSession, sf_dir: str, what: str, chunks: tuple, version: i
     return Array.open(path)
 
 
-def _zstd(c):
-    return c.zstd()
-
-
 def _small_chunks(c):
     """The index needs no checksum of its own: that of the whole shard covers it."""
     return c.sharding(8, 8, index_codecs=[{"name": "bytes", "configuration": {"endian": "little"}}]).zstd(3)
 
 
-#: Of parts and suppliers few cells are set: chunks are compressed, and small ones lie in shards, not in files of their own.
-SPARSE, SMALL = ((("with_codecs", (f,)),) for f in (_zstd, _small_chunks))
+#: Of parts and suppliers few cells are set: chunks are small, compressed, and lie in shards, not in files of their own.
+SMALL = (("with_codecs", (_small_chunks,)),)
 #: Shards of small chunks hold more of them where there would be more shards than this, up to so many cells each.
 MOST_SHARDS, SHARD_CELLS = 10_000, 1 << 24
 
@@ -303,7 +299,7 @@ def array_topk(spark, sf_dir):
 def array_window(spark, sf_dir):
     from pyspark.sql import Window
 
-    cells = array(spark, sf_dir, "Q", (512, 128), options=SPARSE).cells(spark, stored=True).where("value <> 0")
+    cells = array(spark, sf_dir, "Q", (512, 128), options=SMALL).cells(spark, stored=True, slowest=1).where("value <> 0")
     return cells.withColumn("place", F.rank().over(Window.partitionBy("d1").orderBy(F.desc("value")))).where("place <= 3").withColumn("place", F.col("place").cast("long"))
 
 

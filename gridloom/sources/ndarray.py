@@ -10,7 +10,8 @@ are. Modes:
 * ``equal``: chunk_coords, equal: whether all values of the block equal the option ``value`` (JSON), told where it is read;
 * ``chunks``: chunk_coords, key, nbytes, payload; null payload for chunks that are not stored.
 
-Options ``offset`` and ``shape`` (comma-separated) select a cutout in any mode, ``coords=false`` leaves out the
+Option ``slowest`` (a dimension's number) lets partitions take whole layers of chunks along that dimension, so that a
+task sees all that is stored for its part of it. Options ``offset`` and ``shape`` (comma-separated) select a cutout in any mode, ``coords=false`` leaves out the
 dimension columns, ``partition_bytes`` sets how many bytes of chunks (of rows, in mode ``cells``) a partition takes.
 ``stored=true`` leaves out blocks and chunks that are not stored and, of cells, those that hold the fill value: only
 stored chunks are looked at then, which folders tell by their listings. ``inner=true`` gives the inner chunks of shards
@@ -82,6 +83,12 @@ class Reader(DataSourceReader):
         low = [int(x) for x in options["offset"].split(",") if x] if "offset" in options else [0] * len(shape)
         size = [int(x) for x in options["shape"].split(",") if x] if "shape" in options else [s - o for s, o in zip(shape, low, strict=True)]
         checked_selection(shape, low, size)
+        slow = int(options.get("slowest", 0)) if shape else 0
+        if not 0 <= slow < max(1, len(shape)):
+            raise GridError(f"slowest dimension {slow} of an array of rank {len(shape)}")
+        #: Dimensions in the order in which positions go through the box.
+        self.order = [slow, *(k for k in range(len(shape)) if k != slow)] if shape else []
+        self.layers = "slowest" in options
         self.low, self.high = low, [o + s for o, s in zip(low, size, strict=True)]
 
     def pushFilters(self, filters):
@@ -100,31 +107,40 @@ class Reader(DataSourceReader):
     def _box(self):
         sizes = [max(0, b - a) for a, b in zip(self.low, self.high, strict=True)]
         first, stop = chunk_box(self.spec.chunks, self.low, sizes)
-        return first, tuple(b - a for a, b in zip(first, stop, strict=True))
+        return tuple(first[k] for k in self.order), tuple(stop[k] - first[k] for k in self.order)
+
+    def _coords(self, i: int, first, sizes) -> tuple[int, ...]:
+        """The chunk at a position."""
+        own = {k: a + x for k, a, x in zip(self.order, first, unravel(i, sizes), strict=True)}
+        return tuple(own[k] for k in range(len(own)))
 
     def partitions(self):
-        total = math.prod(self._box()[1])
+        sizes = self._box()[1]
+        total = math.prod(sizes)
         size = self.spec.chunk_bytes + (self.mode == "cells") * 8 * self.spec.ndim * self.spec.chunk_size
         per = max(1, self.bytes // max(1, size), -(-total // (STORED_PARTITIONS if self.stored else 100_000)))
+        if self.layers and total:
+            layer = math.prod(sizes[1:])
+            per = -(-per // layer) * layer
         return [Part(a, min(total, a + per)) for a in range(0, total, per)] or [Part(0, 0)]
 
     def read(self, part: Part) -> Iterator[pa.RecordBatch]:
         first, sizes = self._box()
         for i in self._listed(part, first, sizes) if self.stored else range(part.start, part.stop):
-            coords = tuple(a + x for a, x in zip(first, unravel(i, sizes), strict=True))
+            coords = self._coords(i, first, sizes)
             yield from self._inner_rows(coords) if self.inner else self._rows(coords)
 
     def _listed(self, part: Part, first, sizes) -> Iterator[int]:
         """Positions of a partition where a chunk may be stored. Chunks that differ in the last dimension alone lie in
         one folder, where keys are cut by slashes: its listing tells which there are."""
         spec, store = self.spec, self.handle.store
-        if not (isinstance(store, FileStore) and spec.separator == "/" and spec.ndim > 1):
+        if not (isinstance(store, FileStore) and spec.separator == "/" and spec.ndim > 1 and self.order[-1] == spec.ndim - 1):
             yield from range(part.start, part.stop)
             return
         width, at = sizes[-1], part.start
         while at < part.stop:
             end = min(part.stop, at - at % width + width)
-            folder = spec.chunk_key([a + x for a, x in zip(first, unravel(at, sizes), strict=True)]).rpartition("/")[0]
+            folder = spec.chunk_key(self._coords(at, first, sizes)).rpartition("/")[0]
             columns = (int(c) - first[-1] + at - at % width for c in store.children(self.handle.key(folder)) if c.isdigit())
             yield from sorted(i for i in columns if at <= i < end)
             at = end

@@ -366,6 +366,22 @@ def test_repeated_cells_are_summed_in_the_one_shuffle(spark, tmp_path, monkeypat
     assert seen[0].count("Exchange") == 1
 
 
+@pytest.mark.parametrize("codecs", [[BYTES], [sharding([4, 4], [BYTES]), {"name": "zstd"}]])
+def test_partitions_of_whole_layers(spark, tmp_path, codecs):
+    """Along the slowest dimension each partition holds all that is stored, in no other partition."""
+    array, data = sparse(spark, tmp_path, codecs)
+    want = {(int(a), int(b), int(data[a, b])) for a, b in np.argwhere(data)}
+    for k, layers in ((0, 3), (1, 7)):
+        rows = array.cells(spark, stored=True, slowest=k, partition_bytes=1)
+        assert rows.rdd.getNumPartitions() == layers and {tuple(r) for r in rows.collect()} == want
+        cut = array.cells(spark, slowest=k, partition_bytes=1).where("d1 BETWEEN 9 AND 30 AND d0 > 2")
+        assert {tuple(r) for r in cut.collect()} == {(a, b, int(data[a, b])) for a in range(3, 40) for b in range(9, 31)}
+        at = rows.select(F.floor(F.col(f"d{k}") / array.spec.chunks[k]).alias("layer"), F.spark_partition_id().alias("part")).distinct().collect()
+        assert len(at) == len({r.layer for r in at}) == len({r.part for r in at})
+    with pytest.raises(Exception, match="slowest"):
+        array.cells(spark, slowest=2).collect()
+
+
 def test_keys_of_inner_chunks_in_bulk(spark, tmp_path):
     """Keys are made as columns, not one by one, and as ``chunk_key`` makes them."""
     from gridloom.sources import ndarray
